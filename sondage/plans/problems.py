@@ -1,9 +1,42 @@
 """Queries of the general data-preparation problems, with their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import shredding
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.link_results(_t(spark, d, "session_messages"))
+
+
+def p2_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables in one: which table a row belongs to, its links and its values."""
+    from pyspark.sql import functions as F
+
+    tables = shredding.record_tables(_t(spark, d, "session_messages"))
+    link = ["session_id", "uuid", "path", "parent_path", "depth"]
+    parts = [
+        tables["calls"].select(F.lit("calls").alias("table_name"), *link, "use_id", "name", F.col("input").alias("value")),
+        tables["results"].select(F.lit("results").alias("table_name"), *link, "use_id", F.lit(None).cast("string").alias("name"), F.col("content").alias("value")),
+        tables["texts"].select(F.lit("texts").alias("table_name"), *link, F.lit(None).cast("string").alias("use_id"), F.col("kind").alias("name"), F.col("text").alias("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
     return {}
