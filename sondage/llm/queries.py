@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import runs
+from . import conversations, runs
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(_t(spark, d, "session_messages"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.dropped_sessions(_t(spark, d, "session_messages"))
+
+
+def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuild_conversations(_t(spark, d, "session_messages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
