@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, runs
+from . import conversations, personal, runs
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(_t(spark, d, "session_messages"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = personal.find_personal(_t(spark, d, "session_messages"))
+    return found.select("uuid", "block_no", "field_name", "kind", "start_pos")
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact(_t(spark, d, "session_messages"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.dropped_sessions(_t(spark, d, "session_messages"))
 
