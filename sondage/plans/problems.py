@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import shredding
+from ..operators import drift, shredding
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -34,6 +34,15 @@ def p2_tables(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    schemas = drift.file_schemas(_t(spark, d, "session_files"), _t(spark, d, "session_lines"))
+    return drift.schema_changes(schemas).select("series_id", "file_seq", "change_kind", "old_path", "new_path")
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent_records(_t(spark, d, "session_files"), _t(spark, d, "session_lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
