@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import drift, shredding
+from ..operators import drift, features, shredding
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,9 +43,13 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_records(_t(spark, d, "session_files"), _t(spark, d, "session_lines"))
 
 
+def p4_features(spark: SparkSession, d: str) -> DataFrame:
+    return features.feature_table(_t(spark, d, "sessions"), _t(spark, d, "session_messages"), _t(spark, d, "tool_catalog"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_features": features.FEATURE_SQL}
