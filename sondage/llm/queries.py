@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, personal, runs
+from . import conversations, leakage, personal, runs
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild_conversations(_t(spark, d, "session_messages"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
