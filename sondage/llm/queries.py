@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, leakage, personal, runs
+from . import conversations, leakage, personal, runs, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_documents(_t(spark, d, "documents"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.source_report(_t(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
