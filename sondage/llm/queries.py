@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, leakage, personal, runs, truncation
+from . import conversations, leakage, packing, personal, runs, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild_conversations(_t(spark, d, "session_messages"))
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_t(spark, d, "documents"), _t(spark, d, "pack_targets"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
