@@ -310,7 +310,10 @@ def consistent_records(files: DataFrame, lines: DataFrame) -> DataFrame:
                     continue
                 if rule not in loaded:
                     loaded[rule] = json.loads(rule)
-                r = migrate(record, **loaded[rule])
+                try:
+                    r = migrate(record, **loaded[rule])
+                except RecursionError:  # nested beyond reason: left in its own layout
+                    r = record
                 keep.append(i)
                 rows.append((*(text(r.pop(k, None)) for k in ("type", "uuid", "sessionId", "timestamp", "cwd", "message")), json.dumps(r, ensure_ascii=False, sort_keys=True)))
             if rows:
@@ -320,7 +323,7 @@ def consistent_records(files: DataFrame, lines: DataFrame) -> DataFrame:
                     names=["series_id", "file_seq", "line_no", "version", "type", "uuid", "session_id", "ts", "cwd", "message", "rest"],
                 )
 
-    joined = lines.join(routed, "file_id").select(
+    joined = lines.select("file_id", "line_no", "raw_line").join(routed, "file_id").select(
         F.col("series_id").cast("string"), F.col("file_seq").cast("bigint"), F.col("line_no").cast("bigint"), F.col("version").cast("bigint"), "rule", "raw_line"
     )
     return joined.mapInArrow(
