@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|code|span|a|mark|small|sub|sup|tt|font)(?:\s[^<>]{0,300})?>", re.I)
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,1000}>", re.S)
+_TAG = re.compile(r"<!--.{0,5000}?-->|</?[A-Za-z][^<>]{0,1000}>", re.S)
 _JOIN = re.compile(r"[­​-‏⁠﻿*`~]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
@@ -219,6 +219,10 @@ class ItemIndex:
             else:
                 ops.append((0, 1))
                 j -= 1
+        # words of the item before and after the path may count as changed or left out
+        most = 2 * self.min_words // self.per_edit
+        ops += [(1, 1)] * min(most, i + 1)
+        ops = [(1, 1)] * min(most, len(item) - 1 - where[0]) + ops
         return has_passage(ops, self.min_words, self.per_edit)
 
 

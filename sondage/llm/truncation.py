@@ -105,10 +105,11 @@ def read_end(text: str | None) -> tuple[str, str, str]:
         return "cut", "structure", ""
     if m := MARK.search(t[-200:]):
         return "cut", "mark", ""
-    dots = ELLIPSIS.search(t)
+    tail = t[-300:]
+    dots = ELLIPSIS.search(tail)
     if dots:
-        t = t[: dots.start()].rstrip()
-        if not t or AND_SO_ON.search(t):
+        t = t[: len(t) - len(tail) + dots.start()].rstrip()
+        if not t or AND_SO_ON.search(t[-60:]):
             return "done", "", ""
     line = t[t.rfind("\n") + 1 :]
     fences = len(_FENCE.findall(t))
@@ -126,8 +127,8 @@ def read_end(text: str | None) -> tuple[str, str, str]:
     token = token_class(line.split()[-1])
     if (m := _TRAILER.match(line)) and t[: len(t) - len(line)].endswith("\n\n"):
         form, token = "trailer", f"{m.group(1).lower()}: {token}"
-    if TERMINAL.search(t):
-        return ("open" if re.search(r"(?:\b(?:e\.g|i\.e|z\.B|p\. ?ej|cf|vs)\.|/\w+\.|\s\d+\.)$", t) else "done"), form, token
+    if TERMINAL.search(t[-60:]):
+        return ("open" if re.search(r"(?:\b(?:e\.g|i\.e|z\.B|p\. ?ej|cf|vs)\.|/\w+\.|\s\d+\.)$", t[-300:]) else "done"), form, token
     if dots:
         return "cut", form, token
     return "open", form, token
@@ -163,11 +164,11 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
 
 
-def length_spikes(lengths: DataFrame, column: str, least: int = 4, times: float = 6.0, reach: float = 0.04) -> DataFrame:
-    """Lengths of a source that are far more frequent than the lengths around them: source, limit, n.
+def length_spikes(lengths: DataFrame, column: str, least: int = 5, times: float = 8.0, reach: float = 0.04, share: float = 0.003) -> DataFrame:
+    """Lengths of a source that are far more frequent than the lengths around them: source, at_limit, n_at_limit.
 
-    ``lengths``: source and ``column``. At least ``least`` values have the length, and ``times`` the mean of the
-    lengths within ``reach`` of it. Works on counts: as many rows as there are different lengths.
+    ``lengths``: source and ``column``. At least ``least`` values have the length, a ``share`` of the source's, and
+    ``times`` the mean of the lengths within ``reach`` of it. Works on counts: as many rows as there are different lengths.
     """
     counted = lengths.where(F.col(column) > 20).groupBy("source", column).agg(F.count("*").alias("n"))
     at = F.col(column)
@@ -179,7 +180,8 @@ def length_spikes(lengths: DataFrame, column: str, least: int = 4, times: float
     rest = (F.sum("n").over(w) - F.col("n")) / width
     return (
         binned.withColumn("around", rest)
-        .where((F.col("n") >= least) & (F.col("n") >= times * F.greatest("around", F.lit(0.2))))
+        .withColumn("texts", F.sum("n").over(Window.partitionBy("source")))
+        .where((F.col("n") >= least) & (F.col("n") >= share * F.col("texts")) & (F.col("n") >= times * F.greatest("around", F.lit(0.5))))
         .select("source", F.col(column).alias("at_limit"), F.col("n").alias("n_at_limit"))
     )
 
@@ -198,7 +200,7 @@ def examine(documents: DataFrame, kept_words: int = 12) -> DataFrame:
     # a word that often ends whole texts, as in closing lines, counts as an end as well
     usual = F.when(F.col("n_last") >= max(5, n_docs // 1000), F.col("n_last")).otherwise(0)
     seen_at_all = F.col("n_all") + F.col("n_last")
-    stats = stats.select("token", ((F.col("n_end") + usual) / seen_at_all).alias("ends_share"), (usual / seen_at_all).alias("closing_share"))
+    stats = stats.select("token", ((F.col("n_end") + usual) / seen_at_all).alias("ends_share"), (usual / seen_at_all).alias("closing_share"), F.col("n_all").between(1, 19).alias("rare"))
     spikes_c = length_spikes(docs, "n_chars")
     spikes_b = length_spikes(docs.where("n_bytes <> n_chars"), "n_bytes")
     # words kept whole end up to kept_words characters below the limit
@@ -211,10 +213,12 @@ def examine(documents: DataFrame, kept_words: int = 12) -> DataFrame:
         .withColumn("at_limit", F.coalesce("limit_c", "limit_b", F.lit(False)))
     )
     share = F.coalesce("ends_share", F.lit(0.0))
+    # a word seen, but too seldom to tell, proves nothing
+    told = ~F.coalesce("rare", F.lit(False))
     reason = (
         F.when(F.col("verdict") == "cut", F.concat(F.lit("unfinished "), "form"))
         .when((F.col("verdict") == "open") & (F.col("form") == "prose") & (F.coalesce("closing_share", F.lit(0.0)) < 0.5), "within a sentence")
-        .when((F.col("verdict") == "open") & (share < F.when(F.col("at_limit"), 0.05).otherwise(0.02)), "within a line")
+        .when((F.col("verdict") == "open") & told & (share < F.when(F.col("at_limit"), 0.05).otherwise(0.02)), "within a line")
     )
     return judged.select("doc_id", "source", "n_chars", "n_bytes", "at_limit", reason.alias("reason"), reason.isNotNull().alias("is_cut"), "form", "token", "verdict", share.alias("ends_share"))
 
