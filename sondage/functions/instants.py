@@ -14,5 +14,6 @@ def instant_micros(c: Column) -> Column:
     ).otherwise(F.concat(s, F.lit("Z")))
     iso = F.regexp_replace(iso, ",", ".")
     return F.when(s.rlike(r"^[+-]?\d{5,17}$"), s.try_cast("bigint") * 1000).otherwise(
-        F.unix_micros(iso.try_cast("timestamp"))
+        # a time alone would be taken as today's
+        F.when(s.rlike(r"^[+-]?\d{4,6}-\d"), F.unix_micros(iso.try_cast("timestamp")))
     )
