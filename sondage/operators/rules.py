@@ -12,28 +12,25 @@ BUILTIN = Registry()
 _KEYS = r"(?i)(api[_-]?key|secret|token|passwd|password)\s*[:=]\s*['\"][^'\"]{8,}['\"]"
 
 for _rule in (
-    Rule("B001", "high", "bare except hides every error", lambda c: c.rlike(r"^\s*except\s*:")),
-    Rule("B002", "medium", "static and class method at once", lambda c: c.rlike(r"@staticmethod.*@classmethod")),
-    Rule("B006", "medium", "exception is swallowed", lambda c: c.rlike(r"^\s*except\b.*:\s*pass\s*$")),
+    Rule("B001", "high", "bare except catches everything", lambda c: c.rlike(r"^\s*except\s*:")),
+    Rule("B006", "medium", "broad exception is passed over", lambda c: c.rlike(r"^\s*except\s+(Base)?Exception\b.*:\s*pass\s*$")),
     Rule("B023", "medium", "mutable default argument", lambda c: c.rlike(r"def \w+\(.*=\s*(\[\]|\{\})")),
     Rule("E501", "low", "line longer than 100 characters", lambda c: (F.length(c) > 100) & ~c.rlike(r"https?://\S{60,}")),
     Rule("L001", "low", "broken link target", lambda c: c.rlike(r"\]\(\s*\)")),
-    Rule("L003", "low", "link to an absolute local file", lambda c: c.rlike(r"\]\(file://")),
-    Rule("N001", "medium", "server block without name", lambda c: c.rlike(r"^\s*server_name\s+_?;")),
-    Rule("N003", "medium", "proxy without forwarded host", lambda c: c.rlike(r"proxy_set_header\s+Host\s+\$proxy_host")),
-    Rule("R901", "low", "unused binding", lambda c: c.rlike(r"^\s*_\s*=\s*\w+\(\)\s*$")),
+    Rule("L002", "low", "link to an absolute local file", lambda c: c.rlike(r"\]\(file://")),
     Rule("S001", "critical", "secret in the text", lambda c: c.rlike(_KEYS)),
     Rule("S002", "critical", "private key in the text", lambda c: c.rlike(r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----")),
     Rule("S701", "medium", "image without a fixed version", lambda c: c.rlike(r"^\s*FROM\s+\S+:latest\b")),
-    Rule("T001", "low", "work left to do", lambda c: c.rlike(r"\b(TODO|FIXME|XXX)\b")),
-    Rule("T005", "low", "debug output", lambda c: c.rlike(r"^\s*(print|console\.log)\(")),
+    Rule("M501", "low", "work left to do", lambda c: c.rlike(r"\b(TODO|FIXME|XXX)\b")),
+    Rule("W501", "low", "debug output", lambda c: c.rlike(r"^\s*(print|console\.log)\(")),
     Rule("U501", "medium", "plain http address", lambda c: c.rlike(r"http://(?!localhost|127\.0\.0\.1)[A-Za-z0-9]")),
-    Rule("V001", "low", "tabs and spaces mixed", lambda c: c.rlike(r"^ +\t|^\t+ ")),
-    Rule("V002", "low", "white space at the end of a line", lambda c: c.rlike(r"[ \t]+$")),
+    Rule("W191", "low", "tabs and spaces mixed", lambda c: c.rlike(r"^ +\t|^\t+ ")),
+    Rule("W291", "low", "white space at the end of a line", lambda c: c.rlike(r"[ \t]+$")),
     Rule("F001", "low", "front matter is missing", lambda c: ~c.startswith("---"), per_line=False, targets=r"\.md$"),
-    Rule("F002", "medium", "front matter is not closed", lambda c: c.startswith("---\n") & ~c.rlike(r"^---\n(?s:.*?)\n---(\n|$)"), per_line=False),
+    Rule("F002", "low", "front matter is empty", lambda c: c.rlike(r"^---\s*\n\s*---"), per_line=False),
+    Rule("F006", "medium", "front matter is not closed", lambda c: c.startswith("---\n") & ~c.rlike(r"^---\n(?s:.*?)\n---(\n|$)"), per_line=False),
     Rule("M101", "medium", "text longer than 20,000 characters", lambda c: F.length(c) > 20000, per_line=False),
-    Rule("M102", "low", "empty text", lambda c: F.trim(c) == "", per_line=False),
-    Rule("D001", "low", "unbalanced code fence", lambda c: F.regexp_count(c, F.lit(r"(?m)^```")) % 2 == 1, per_line=False),
+    Rule("W000", "low", "empty text", lambda c: F.trim(c) == "", per_line=False),
+    Rule("W002", "low", "unbalanced code fence", lambda c: F.regexp_count(c, F.lit(r"(?m)^```")) % 2 == 1, per_line=False),
 ):
     BUILTIN.add(_rule)

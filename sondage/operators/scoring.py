@@ -62,7 +62,7 @@ def fit_budget(df: DataFrame, by: list[str], order: list[str], cost: str, most:
     Groups must be of bounded size: a group's pairs are one array.
     """
     entries = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("bigint").alias("_cost"))))
-    kind = f"struct<used:bigint,kept:array<bigint>>"
+    kind = "struct<used:bigint,kept:array<bigint>>"
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("kept")).cast(kind)
     folded = F.aggregate(
         entries,

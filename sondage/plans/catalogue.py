@@ -745,10 +745,10 @@ def q_status_user_rollup(spark, d):
 _RULE_LINES = "(select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)"
 _RULES = f"""select doc_id, line, rule_code, severity from (
 select doc_id, line, 'E501' as rule_code, 'low' as severity from {_RULE_LINES} where length(l) > 100 and not regexp_matches(l, 'https?://\\S{{60,}}')
-union all select doc_id, line, 'T001', 'low' from {_RULE_LINES} where regexp_matches(l, '\\b(TODO|FIXME|XXX)\\b')
-union all select doc_id, line, 'V002', 'low' from {_RULE_LINES} where regexp_matches(l, '[ \\t]+$')
+union all select doc_id, line, 'M501', 'low' from {_RULE_LINES} where regexp_matches(l, '\\b(TODO|FIXME|XXX)\\b')
+union all select doc_id, line, 'W291', 'low' from {_RULE_LINES} where regexp_matches(l, '[ \\t]+$')
 union all select doc_id, 1, 'M101', 'medium' from documents where length(text) > 20000
-union all select doc_id, 1, 'M102', 'low' from documents where trim(text, ' ') = '')"""
+union all select doc_id, 1, 'W000', 'low' from documents where trim(text, ' ') = '')"""
 
 
 def _findings(spark, d, **chosen):
@@ -757,17 +757,17 @@ def _findings(spark, d, **chosen):
 
 @q(_RULES)
 def q_rules_union(spark, d):
-    return _findings(spark, d, select="E501,T001,V002,M101,M102").select("doc_id", "line", "rule_code", "severity")
+    return _findings(spark, d, select="E501,M501,W291,M101,W000").select("doc_id", "line", "rule_code", "severity")
 
 
 @q(f"select severity, count(*) as n from ({_RULES}) group by severity")
 def q_severity_counts(spark, d):
-    return _findings(spark, d, select="E501,T001,V002,M101,M102").groupBy("severity").agg(F.count("*").alias("n"))
+    return _findings(spark, d, select="E501,M501,W291,M101,W000").groupBy("severity").agg(F.count("*").alias("n"))
 
 
 @q(f"select doc_id, line, rule_code, severity from ({_RULES}) where severity <> 'low'")
 def q_severity_min(spark, d):
-    return _findings(spark, d, select="E501,T001,V002,M101,M102", least="medium").select("doc_id", "line", "rule_code", "severity")
+    return _findings(spark, d, select="E501,M501,W291,M101,W000", least="medium").select("doc_id", "line", "rule_code", "severity")
 
 
 @q()
