@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import drift, features, shredding
 
@@ -18,20 +19,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_tables(spark: SparkSession, d: str) -> DataFrame:
-    """The flat tables in one: which table a row belongs to, its links and its values."""
-    from pyspark.sql import functions as F
-
-    tables = shredding.record_tables(_t(spark, d, "session_messages"))
-    link = ["session_id", "uuid", "path", "parent_path", "depth"]
-    parts = [
-        tables["calls"].select(F.lit("calls").alias("table_name"), *link, "use_id", "name", F.col("input").alias("value")),
-        tables["results"].select(F.lit("results").alias("table_name"), *link, "use_id", F.lit(None).cast("string").alias("name"), F.col("content").alias("value")),
-        tables["texts"].select(F.lit("texts").alias("table_name"), *link, F.lit(None).cast("string").alias("use_id"), F.col("kind").alias("name"), F.col("text").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The flat tables in one pass: which table a row belongs to, its links and its values."""
+    blocks = shredding.distinct_blocks(shredding.flatten_blocks(_t(spark, d, "session_messages")))
+    kind = F.col("block_type")
+    table = F.when(kind == "tool_use", "calls").when(kind == "tool_result", "results").when(kind.isin("text", "thinking"), "texts").otherwise("other")
+    return blocks.select(
+        table.alias("table_name"), "session_id", "uuid", "path", "parent_path", "depth",
+        F.coalesce("block_id", "block_tool_use_id").alias("use_id"), F.col("block_name").alias("name"), F.col("block_is_error").alias("is_error"),
+        F.coalesce("block_text", "block_thinking", "block_input", "block_content").alias("value"),
+    )
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
