@@ -93,6 +93,11 @@ def line_form(line: str) -> str:
     return "prose"
 
 
+def last_phrase(text: str | None) -> str:
+    """The last three words, by which closing lines are known again."""
+    return " ".join((text or "").rstrip()[-200:].lower().split()[-3:])
+
+
 def read_end(text: str | None) -> tuple[str, str, str]:
     """(verdict, form, last token's class) of a text's end.
 
@@ -127,6 +132,8 @@ def read_end(text: str | None) -> tuple[str, str, str]:
     token = token_class(line.split()[-1])
     if (m := _TRAILER.match(line)) and t[: len(t) - len(line)].endswith("\n\n"):
         form, token = "trailer", f"{m.group(1).lower()}: {token}"
+    if form == "prose" and len(line.split()) <= 8 and t[: len(t) - len(line)].endswith("\n\n"):
+        form = "closing"
     if TERMINAL.search(t[-60:]):
         return ("open" if re.search(r"(?:\b(?:e\.g|i\.e|z\.B|p\. ?ej|cf|vs)\.|/\w+\.|\s\d+\.)$", t[-300:]) else "done"), form, token
     if dots:
@@ -134,7 +141,7 @@ def read_end(text: str | None) -> tuple[str, str, str]:
     return "open", form, token
 
 
-_OUT = "what string, doc_id bigint, source string, n_chars bigint, n_bytes bigint, verdict string, form string, token string, n_all bigint, n_end bigint"
+_OUT = "what string, doc_id bigint, source string, n_chars bigint, n_bytes bigint, verdict string, form string, token string, phrase string, n_all bigint, n_end bigint"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 _KINDS = [pa.int64() if c.endswith("bigint") else pa.string() for c in _OUT.split(", ")]
 
@@ -148,7 +155,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
             verdict, form, token = read_end(text)
             n = len(text or "")
-            rows.append(("doc", i, source, n, len((text or "").encode("utf-8", "surrogatepass")), verdict, form, token, None, None))
+            rows.append(("doc", i, source, n, len((text or "").encode("utf-8", "surrogatepass")), verdict, form, token, last_phrase(text) if form == "closing" else None, None, None))
             if verdict != "none":
                 lines = text.rstrip().split("\n")
                 every.update(" ".join(lines[:-1]).split())
@@ -159,7 +166,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = classes.setdefault(token_class(t), [0, 0])
             c[0] += n
             c[1] += ends.get(t, 0)
-        rows += [("token", None, None, None, None, None, None, t, a, e) for t, (a, e) in classes.items()]
+        rows += [("token", None, None, None, None, None, None, t, None, a, e) for t, (a, e) in classes.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
 
@@ -190,17 +197,21 @@ def examine(documents: DataFrame, kept_words: int = 12) -> DataFrame:
     """Every text with ``is_cut`` and why: doc_id, source, n_chars, n_bytes, at_limit, reason, is_cut."""
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("source").cast("string"))
     seen = stage(texts.mapInArrow(_observe, _OUT), "ends")
-    docs = seen.where("what = 'doc'").select(*_NAMES[1:8])
-    open_ends = docs.where("verdict = 'open'").groupBy("token").agg(F.count("*").alias("n_last"))
+    docs = seen.where("what = 'doc'").select(*_NAMES[1:9])
+    # lines that stand alone at the end: closing words, trailers, links
+    alone = F.col("form").isin("closing", "trailer", "short")
+    open_ends = docs.where("verdict = 'open'").groupBy("token").agg(F.count_if(alone).alias("n_last"))
     n_docs = docs.where("verdict <> 'none'").count()
     tokens = seen.where("what = 'token'").groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n_end").alias("n_end"))
     stats = open_ends.join(tokens, "token", "left").select(
         "token", "n_last", F.coalesce("n_all", F.lit(0)).alias("n_all"), F.coalesce("n_end", F.lit(0)).alias("n_end")
     )
+    often = max(3, n_docs // 1000)
+    phrases = docs.where("verdict = 'open' and form = 'closing'").groupBy("phrase").agg(F.count("*").alias("n_phrase")).where(F.col("n_phrase") >= often)
     # a word that often ends whole texts, as in closing lines, counts as an end as well
-    usual = F.when(F.col("n_last") >= max(5, n_docs // 1000), F.col("n_last")).otherwise(0)
-    seen_at_all = F.col("n_all") + F.col("n_last")
-    stats = stats.select("token", ((F.col("n_end") + usual) / seen_at_all).alias("ends_share"), (usual / seen_at_all).alias("closing_share"), F.col("n_all").between(1, 19).alias("rare"))
+    usual = F.when(F.col("n_last") >= often, F.col("n_last")).otherwise(0)
+    seen_at_all = F.greatest(F.col("n_all") + F.col("n_last"), F.lit(1))
+    stats = stats.select("token", ((F.col("n_end") + usual) / seen_at_all).alias("ends_share"), (usual / seen_at_all).alias("closing_share"), (F.col("n_all").between(1, 19) & ~F.col("token").startswith("<")).alias("rare"))
     spikes_c = length_spikes(docs, "n_chars")
     spikes_b = length_spikes(docs.where("n_bytes <> n_chars"), "n_bytes")
     # words kept whole end up to kept_words characters below the limit
@@ -208,6 +219,7 @@ def examine(documents: DataFrame, kept_words: int = 12) -> DataFrame:
     limits_b = spikes_b.select("source", F.explode(F.sequence(F.col("at_limit") - 3, F.col("at_limit"))).alias("n_bytes")).distinct().withColumn("limit_b", F.lit(True))
     judged = (
         docs.join(stats, "token", "left")
+        .join(phrases, "phrase", "left")
         .join(limits, ["source", "n_chars"], "left")
         .join(limits_b, ["source", "n_bytes"], "left")
         .withColumn("at_limit", F.coalesce("limit_c", "limit_b", F.lit(False)))
@@ -217,8 +229,8 @@ def examine(documents: DataFrame, kept_words: int = 12) -> DataFrame:
     told = ~F.coalesce("rare", F.lit(False))
     reason = (
         F.when(F.col("verdict") == "cut", F.concat(F.lit("unfinished "), "form"))
-        .when((F.col("verdict") == "open") & (F.col("form") == "prose") & (F.coalesce("closing_share", F.lit(0.0)) < 0.5), "within a sentence")
-        .when((F.col("verdict") == "open") & told & (share < F.when(F.col("at_limit"), 0.05).otherwise(0.02)), "within a line")
+        .when((F.col("verdict") == "open") & F.col("form").isin("prose", "closing") & ((F.col("form") == "prose") | ((F.coalesce("closing_share", F.lit(0.0)) < 0.5) & F.col("n_phrase").isNull())), "within a sentence")
+        .when((F.col("verdict") == "open") & (F.col("form") != "closing") & told & (share < F.when(F.col("at_limit"), 0.05).otherwise(0.02)), "within a line")
     )
     return judged.select("doc_id", "source", "n_chars", "n_bytes", "at_limit", reason.alias("reason"), reason.isNotNull().alias("is_cut"), "form", "token", "verdict", share.alias("ends_share"))
 
