@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, differences, graphs, joining, profile, scoring, search, sequences
+from ..operators import checks, differences, graphs, joining, profile, scoring, search, sequences, similarity
 from ..operators.rules import BUILTIN
 from . import control, qlang
 
@@ -813,3 +813,53 @@ def q_language_breakdown(spark, d):
 @q("""select vec_id, case when date_diff('second', timestamp '2020-01-01', timestamp '2020-01-01' + to_seconds(vec_id * 997)) < 3600 then (vec_id * 997 // 60)::varchar || 'm ago' when vec_id * 997 < 86400 then (vec_id * 997 // 3600)::varchar || 'h ago' else (vec_id * 997 // 86400)::varchar || 'd ago' end as age from embeddings""")
 def q_age_label(spark, d):
     return t(spark, d, "embeddings").select("vec_id", T.age_label(F.col("vec_id") * 997).alias("age"))
+
+
+@q("""with s as (select q.vec_id as query_id, e.vec_id as match_id, list_cosine_similarity(q.embedding::double[], e.embedding::double[]) as sim from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0)
+select query_id, match_id, rank from (select *, row_number() over (partition by query_id order by sim desc, match_id) as rank from s) where rank <= 5""")
+def q_nearest_vectors(spark, d):
+    vectors = t(spark, d, "embeddings")
+    return similarity.nearest(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 5).select("query_id", "match_id", "rank")
+
+
+@q("""select label, count(*) as n, avg(embedding[1]::double) as first_mean from embeddings group by label""")
+def q_vector_profile(spark, d):
+    return t(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.avg(F.col("embedding")[0].cast("double")).alias("first_mean"))
+
+
+@q("""select doc_id, len(string_split(regexp_replace(file_path, '[^/]*$', ''), '/')) - 1 as depth, regexp_extract(file_path, '^([^/]*)/', 1) as top from documents where file_path is not null""")
+def q_path_parts(spark, d):
+    docs = t(spark, d, "documents").where("file_path is not null")
+    return docs.select("doc_id", (F.size(F.split(F.regexp_replace("file_path", "[^/]*$", ""), "/")) - 1).cast("bigint").alias("depth"), F.regexp_extract("file_path", "^([^/]*)/", 1).alias("top"))
+
+
+@q("""select doc_id, array_to_string(list_transform(string_split(source, '_'), lambda x: upper(x[1]) || x[2:]), '') as camel from documents""")
+def q_camelize(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.camelize(F.col("source")).alias("camel"))
+
+
+@q("""select user_id, event_type, n, floor(n * 1000 / sum(n) over (partition by user_id) + 0.5) / 10 as pct from (select user_id, event_type, count(*) as n from events group by all)""")
+def q_share_per_group(spark, d):
+    from pyspark.sql import Window
+
+    per = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return per.withColumn("pct", F.floor(F.col("n") * 1000 / F.sum("n").over(Window.partitionBy("user_id")) + 0.5) / 10)
+
+
+@q("""with p as (select s_suppkey, s_nationkey, s_acctbal from supplier), m as (select s_nationkey, avg(s_acctbal) as mean, stddev_samp(s_acctbal) as dev from p group by all)
+select s_suppkey from p join m on p.s_nationkey = m.s_nationkey where s_acctbal > mean + dev""")
+def q_outliers(spark, d):
+    rows = t(spark, d, "supplier")
+    m = rows.groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("mean"), F.stddev_samp("s_acctbal").alias("dev"))
+    return rows.join(m, "s_nationkey").where("s_acctbal > mean + dev").select("s_suppkey")
+
+
+@q("""with e as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 1 day then 0 else 1 end as s from events)
+select user_id, visit::bigint as visit, count(*) as n, min(ts) as began, max(ts) as ended from (select *, sum(s) over (partition by user_id order by ts, event_id rows unbounded preceding) as visit from e) group by user_id, visit""")
+def q_visits(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w))
+    e = t(spark, d, "events").withColumn("s", F.when(gap <= 86_400_000_000, 0).otherwise(1))
+    return sequences.running_sum(e, ["user_id"], ["ts", "event_id"], F.col("s"), "visit").groupBy("user_id", "visit").agg(F.count("*").alias("n"), F.min("ts").alias("began"), F.max("ts").alias("ended"))
