@@ -104,6 +104,7 @@ ADDRESS = re.compile(
 _E = r"(?<![\w.+/:-])"  # nothing before that would make it part of something longer
 _X = r"(?![\w-]|\.\d|/\d)"
 PHONE = re.compile(
+    r"(?<![\w+])(?:\+1|001)[ .-]?(?:\([2-9]\d\d\)|[2-9]\d\d)[ .-]?\d{3}[ .-]?\d{4}(?!\w)|"  # as long as its plan says
     r"(?<![\w+])(?:\+\d{1,3}|00[1-9]\d{0,2})(?:[ .-]?\(\d{1,5}\)|[ .-]\d{1,5}|(?=\d))(?:[ .-]?\d{2,}+){1,5}(?![\w])"
     r"|(?<![\w.+/-])\+\d(?:[ .-]?\d){7,14}(?!\w)"
     rf"|(?<![\w.+:-])\([2-9]\d\d\)[ .-]?\d{{3}}[ .-]\d{{4}}{_X}"
