@@ -47,5 +47,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+_P2 = """
+with recursive blocks as (
+  select session_id, uuid, unnest(message.content) as b, generate_subscripts(message.content, 1) - 1 as pos from (select distinct on (uuid) * from session_messages)
+),
+arrays(session_id, uuid, prefix, arr) as (
+  select session_id, uuid, pos::varchar, try_cast(b.content as json) from blocks where b.type = 'tool_result' and try_cast(b.content as json) is not null and json_type(try_cast(b.content as json)) = 'ARRAY'
+  union all
+  select session_id, uuid, prefix || '/' || i, inner_array from (
+    select session_id, uuid, prefix, i, case json_type(e, '$.content') when 'ARRAY' then json_extract(e, '$.content') when 'VARCHAR' then try_cast(json_extract_string(e, '$.content') as json) end as inner_array
+    from (select session_id, uuid, prefix, i, json_extract(arr, '$[' || i || ']') as e from (select *, unnest(range(0, json_array_length(arr)::bigint)) as i from arrays))
+    where json_extract_string(e, '$.type') = 'tool_result'
+  ) where inner_array is not null and json_type(inner_array) = 'ARRAY'
+),
+inside as (
+  select session_id, uuid, prefix, prefix || '/' || i as path, json_extract_string(e, '$.type') as type, json_extract_string(e, '$.id') as id, json_extract_string(e, '$.tool_use_id') as use_id
+  from (select session_id, uuid, prefix, i, json_extract(arr, '$[' || i || ']') as e from (select *, unnest(range(0, json_array_length(arr)::bigint)) as i from arrays))
+),
+calls as (select session_id, b.id as id, min((uuid, pos::varchar)) as c from blocks where b.type = 'tool_use' group by all)
+select b.session_id, c[1] as use_uuid, c[2] as use_path, b.uuid as result_uuid, b.pos::varchar as result_path
+from blocks b join calls on b.session_id = calls.session_id and b.b.tool_use_id = calls.id where b.b.type = 'tool_result'
+union
+select r.session_id, r.uuid, min(u.path), r.uuid, r.path from inside r join inside u on r.uuid = u.uuid and r.prefix = u.prefix and r.use_id = u.id
+where r.type = 'tool_result' and u.type = 'tool_use' group by r.session_id, r.uuid, r.path"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_features": features.FEATURE_SQL}
+    return {"p2_found": _P2, "p4_features": features.FEATURE_SQL}
