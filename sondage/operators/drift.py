@@ -101,7 +101,7 @@ def file_schemas(files: DataFrame, lines: DataFrame) -> DataFrame:
     merged = (
         known.join(observed, "file_id", "left")
         .groupBy("series_id", "file_seq", "path", "kind")
-        .agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.first("sketch", ignorenulls=True).alias("sketch"))
+        .agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.array_compact(F.array(*[F.min(F.try_element_at("sketch", F.lit(i + 1))) for i in range(_SKETCH)])).alias("sketch"))
     )
     # collected per file: as many entries as a file has paths, not rows
     entry = F.struct("path", "kind", "n", "chars", "sketch")

@@ -49,7 +49,7 @@ def cents(c: Column) -> Column:
 
 # --- flagship ----------------------------------------------------------------------------------------------------
 
-_FLAGSHIP = """select l_orderkey, count(*) as lines, sum(l_quantity::bigint) as total_qty, max(l_quantity) as max_qty
+_FLAGSHIP = """select l_orderkey, count(*) as lines, sum(l_quantity::bigint)::bigint as total_qty, max(l_quantity) as max_qty
 from lineitem group by l_orderkey having count(*) > 3 and max(l_quantity) between 10 and 40
 order by total_qty desc, l_orderkey limit 20"""
 
@@ -149,7 +149,7 @@ def q_shorten_strings(spark, d):
     return control.shorten(t(spark, d, "documents").select("doc_id", "text"), 60)
 
 
-@q("""select l_orderkey, l_linenumber, row_no from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) as row_no from lineitem) where row_no between 2 and 3""")
+@q("""select l_orderkey, l_linenumber, row_no::int as row_no from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) as row_no from lineitem) where row_no between 2 and 3""")
 def q_range_slice(spark, d):
     rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     return sequences.numbered_range(rows, ["l_orderkey"], ["l_linenumber"], 2, 3)
@@ -259,7 +259,7 @@ def q_churn_since(spark, d):
     return t(spark, d, "orders").where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp")).groupBy("o_custkey").agg(F.count("*").alias("touches"))
 
 
-@q("""select l_returnflag, l_linestatus, sum(l_quantity::bigint) as sum_qty, sum(round(l_extendedprice * 100)::bigint)::bigint as sum_cents, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
+@q("""select l_returnflag, l_linestatus, sum(l_quantity::bigint)::bigint as sum_qty, sum(round(l_extendedprice * 100)::bigint)::bigint as sum_cents, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
 def q_pricing_summary(spark, d):
     rows = t(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("sum_qty"), cents(F.col("l_extendedprice")).alias("sum_cents"), F.count("*").alias("n"))
@@ -320,14 +320,14 @@ def q_asof_preceding(spark, d):
 
 @q("""with f as (select distinct n_name, p_brand from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join part on l_partkey = p_partkey where l_quantity > 48),
 a as (select list_sort(list(distinct p_brand)) as all_names from f)
-select n_name, list_sort(list(p_brand)) as present, list_sort(list_filter(any_value(all_names), lambda x: not list_contains(list(p_brand), x))) as missing from f, a group by n_name""")
+select n_name, array_to_string(list_sort(list(p_brand)), ',') as present, array_to_string(list_sort(list_filter(any_value(all_names), lambda x: not list_contains(list(p_brand), x))), ',') as missing from f, a group by n_name""")
 def q_cross_matrix(spark, d):
     lines = t(spark, d, "lineitem").where("l_quantity > 48")
     facts = (
         lines.join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("n_name", "p_brand")
     )
-    return joining.presence_matrix(facts, "n_name", "p_brand")
+    return joining.presence_matrix(facts, "n_name", "p_brand").select("n_name", F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"))
 
 
 @q("""with f as (select distinct source, lang from documents where lang is not null and source is not null), s as (select count(distinct source) as n_sites from f)
@@ -397,7 +397,7 @@ def q_prev10_window(spark, d):
     return sequences.within_previous(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", 10, "bought_before").select("event_id", "bought_before")
 
 
-@q("""select o_custkey, o_orderkey, rank from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3""")
+@q("""select o_custkey, o_orderkey, rank::int as rank from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3""")
 def q_top3_per_group(spark, d):
     return sequences.top_per_group(t(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
 
@@ -562,25 +562,25 @@ def q_whole_word(spark, d):
     return search.word_hits(t(spark, d, "documents"), "text", "cache").select("doc_id")
 
 
-@q("""select doc_id, i as line_no, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_matches(line, '^def [a-z_]+\\(')""")
+@q("""select doc_id, i::int as line_no, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_matches(line, '^def [a-z_]+\\(')""")
 def q_grep_lines(spark, d):
     return search.grep(t(spark, d, "documents"), "doc_id", "text", r"^def [a-z_]+\(")
 
 
 @q("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
 h as (select *, last_value(case when regexp_matches(line, '^#{1,6}\\s') then regexp_replace(line, '^#{1,6}\\s+', '') end ignore nulls) over (partition by doc_id order by i rows unbounded preceding) as heading from l)
-select doc_id, heading, i as line_no, line from h where regexp_matches(line, '^\\| [A-Z][0-9]+ ')""")
+select doc_id, heading, i::int as line_no, line from h where regexp_matches(line, '^\\| [A-Z][0-9]+ ')""")
 def q_grep_by_heading(spark, d):
     return search.nearest_heading(t(spark, d, "documents"), "doc_id", "text", r"^\| [A-Z][0-9]+ ")
 
 
-@q("""select doc_id, i as line_no, length(regexp_extract(line, '^(#+)', 1))::int as level, trim(regexp_replace(line, '^#+ ', ''), ' ') as title
+@q("""select doc_id, i::int as line_no, length(regexp_extract(line, '^(#+)', 1))::int as level, trim(regexp_replace(line, '^#+ ', ''), ' ') as title
 from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_matches(line, '^#{1,6} \\S')""")
 def q_heading_levels(spark, d):
     return search.headings(t(spark, d, "documents"), "doc_id", "text")
 
 
-@q("""select doc_id, i as line_no, length(line)::int as line_length from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where length(line) > 100""")
+@q("""select doc_id, i::int as line_no, length(line)::int as line_length from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where length(line) > 100""")
 def q_long_lines(spark, d):
     return search.long_lines(t(spark, d, "documents"), "doc_id", "text")
 
@@ -696,7 +696,7 @@ def q_hotspot_top10(spark, d):
     return scored.where("score > 0").orderBy(F.desc("score"), "l_suppkey").limit(10).select("l_suppkey", (F.floor(c("score") * 10 + 0.5) / 10).alias("score"))
 
 
-@q("""select source, score from (select source, n + 0.5 * greatest(n - 10, 0) + 0.5 * private + greatest(most - 3, 0) as score from (select source, sum(k)::bigint as n, sum(case when repo is null then k else 0 end)::bigint as private, max(k) as most from (select source, repo, count(*) as k from documents group by all) group by source))""")
+@q("""select source, score::double as score from (select source, n + 0.5 * greatest(n - 10, 0) + 0.5 * private + greatest(most - 3, 0) as score from (select source, sum(k)::bigint as n, sum(case when repo is null then k else 0 end)::bigint as private, max(k) as most from (select source, repo, count(*) as k from documents group by all) group by source))""")
 def q_patch_groups(spark, d):
     per = t(spark, d, "documents").groupBy("source", "repo").agg(F.count("*").alias("k"))
     g = per.groupBy("source").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("repo").isNull(), F.col("k"))), F.lit(0)).alias("private"), F.max("k").alias("most"))
@@ -743,7 +743,7 @@ def q_status_user_rollup(spark, d):
 
 
 _RULE_LINES = "(select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)"
-_RULES = f"""select doc_id, line, rule_code, severity from (
+_RULES = f"""select doc_id, line::int as line, rule_code, severity from (
 select doc_id, line, 'E501' as rule_code, 'low' as severity from {_RULE_LINES} where length(l) > 100 and not regexp_matches(l, 'https?://\\S{{60,}}')
 union all select doc_id, line, 'M501', 'low' from {_RULE_LINES} where regexp_matches(l, '\\b(TODO|FIXME|XXX)\\b')
 union all select doc_id, line, 'W291', 'low' from {_RULE_LINES} where regexp_matches(l, '[ \\t]+$')
@@ -776,7 +776,7 @@ def q_rules_all(spark, d):
     return _findings(spark, d)
 
 
-@q("""select doc_id, i as line from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_matches(l, '(?i)(api[_-]?key|secret|token|passwd|password)\\s*[:=]\\s*[''"][^''"]{8,}[''"]')""")
+@q("""select doc_id, i::int as line from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_matches(l, '(?i)(api[_-]?key|secret|token|passwd|password)\\s*[:=]\\s*[''"][^''"]{8,}[''"]')""")
 def q_secret_scan(spark, d):
     return _findings(spark, d, select="S001").select("doc_id", "line")
 
@@ -816,7 +816,7 @@ def q_age_label(spark, d):
 
 
 @q("""with s as (select q.vec_id as query_id, e.vec_id as match_id, list_cosine_similarity(q.embedding::double[], e.embedding::double[]) as sim from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0)
-select query_id, match_id, rank from (select *, row_number() over (partition by query_id order by sim desc, match_id) as rank from s) where rank <= 5""")
+select query_id, match_id, rank::int as rank from (select *, row_number() over (partition by query_id order by sim desc, match_id) as rank from s) where rank <= 5""")
 def q_nearest_vectors(spark, d):
     vectors = t(spark, d, "embeddings")
     return similarity.nearest(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 5).select("query_id", "match_id", "rank")
