@@ -180,7 +180,7 @@ def flatten_blocks(
     for k in names:
         c = F.col(f"message.content.{k}")
         if k == "content" and not keep_plain_content:
-            c = F.transform(c, lambda x: F.when(F.ltrim(x).startswith("["), x))
+            c = F.transform(c, lambda x: F.when(x.rlike(r"^\s*\["), x))
         cols.append(c.alias(f"_{k}"))
     schema = ", ".join(
         [*(f"`{k}` string" for k in keys), "path string", "parent_path string", "depth int"]

@@ -94,7 +94,7 @@ def test_links_edge_cases(messages):
         message("a", blocks=None), message("b", blocks=[]), message("c", blocks=[block(None), use(None), result(None)]),
         message("d", blocks=[result("x", deep), result("x", "[]"), result("x", '[{"type":"tool_use","id":"y"},{"type":"tool_result","tool_use_id":"y"}] tail')]),
         message("e", session=None, blocks=[use("q"), result("q")]), message("f", blocks=[use("x")]),
-        message("g", blocks=[result("x", ' [null, {"type":"tool_use","id":1}, {"type":"tool_result","tool_use_id":1}]')]),
+        message("g", blocks=[result("x", '\n\t [null, {"type":"tool_use","id":1}, {"type":"tool_result","tool_use_id":1}]')]),
     ]
     assert links(messages(rows)) == {("s", "f", "0", "d", "0"), ("s", "f", "0", "d", "1"), ("s", "f", "0", "d", "2"), ("s", "f", "0", "g", "0"), ("s", "g", "0/1", "g", "0/2")}
 
