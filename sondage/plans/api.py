@@ -13,7 +13,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import checks, code, graphs, history, infra, profile, scoring, search
+from ..operators import checks, code, frontmatter, graphs, history, infra, profile, scoring, search
 from ..operators.rules import BUILTIN
 from ..sources import files as file_source
 from ..sources import formats, python_code, stores
@@ -107,6 +107,10 @@ def check(spark: SparkSession, path: str, select: str | None = None, ignore: str
     more = code.element_findings(python_code.element_table(py), python_code.import_table(py), python_code.symbol_table(py)).unionByName(
         infra.server_findings(formats.structure(texts.where(F.col("path").rlike(r"\.(conf|nginx|vhost)$")))).withColumnRenamed("path", "file")
     )
+    alike = python_code.similar_table(py)
+    more = more.unionByName(
+        alike.select("file", "line", F.lit("D002").alias("rule_code"), F.lit("low").alias("severity"), F.concat("name", F.lit(" is much like "), "other").alias("message"))
+    )
     named = lambda names: " or ".join(f"startswith(rule_code, '{x.strip()}')" for x in names.split(",") if x.strip().isalnum()) or "true"
     if select:
         more = more.where(named(select))
@@ -308,6 +312,13 @@ def _markdown(spark, call):
     return texts.select("path", search.front_matter_state(F.col("text")).alias("state"), F.length("text").alias("chars")).join(fields, "path", "left")
 
 
+@scheme("frontmatter", "findings on front matter: missing fields, wrong types (``required=a,b&types=a:integer``)", "required types", tiebreak="path field")
+def _frontmatter(spark, call):
+    p = call.params
+    types = dict(x.split(":", 1) for x in p.get("types", "").split(",") if ":" in x)
+    return frontmatter.check(formats.structure(file_source.read_texts(spark, call.resource, "*.md")), [x for x in p.get("required", "").split(",") if x], types)
+
+
 @scheme("json", "a JSON document: its rows, or gron lines, keys, length, schema, at a path", "gron keys length schema path", tiebreak="")
 def _json(spark, call):
     p = call.params

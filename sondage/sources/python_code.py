@@ -251,3 +251,43 @@ def symbol_table(files: DataFrame) -> DataFrame:
 
 def event_table(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInArrow(_table(events, EVENTS), EVENTS)
+
+
+SIMILAR = "file string, name string, line int, other string, other_line int, similarity double"
+
+
+def similar_functions(file: str, text: str | None, least: float = 0.5, lines: int = 8, top: int = 5) -> list[tuple]:
+    """Pairs of longer functions of one file with alike token counts, the most telling first."""
+    import io
+    import math
+    import tokenize
+    from collections import Counter
+
+    tree = parse(text)
+    if tree is None:
+        return []
+    source = (text or "").split("\n")
+    found = []
+    for n in ast.walk(tree):
+        if isinstance(n, _DEF) and n.end_lineno - n.lineno + 1 >= lines:
+            body = "\n".join(source[n.body[0].lineno - 1 : n.end_lineno])
+            words: Counter = Counter()
+            try:
+                for t in tokenize.generate_tokens(io.StringIO(body).readline):
+                    if t.type in (tokenize.NAME, tokenize.OP):
+                        words[t.string] += 1
+            except (tokenize.TokenError, IndentationError, SyntaxError):
+                pass
+            found.append((n, words, math.sqrt(sum(v * v for v in words.values())) or 1.0))
+    pairs = []
+    for i, (a, u, x) in enumerate(found):
+        for b, v, y in found[i + 1 :]:
+            s = sum(c * v[w] for w, c in u.items()) / (x * y)
+            if s >= least:
+                size = (a.end_lineno - a.lineno + 1) + (b.end_lineno - b.lineno + 1)
+                pairs.append((-s * math.sqrt(size), (file, a.name, a.lineno, b.name, b.lineno, s)))
+    return [p for _, p in sorted(pairs)[:top]]
+
+
+def similar_table(files: DataFrame) -> DataFrame:
+    return files.select("path", "text").mapInArrow(_table(similar_functions, SIMILAR), SIMILAR)

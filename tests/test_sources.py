@@ -260,3 +260,24 @@ def test_transcripts(spark, tmp_path):
     lines = [{"type": "assistant", "uuid": "u", "sessionId": "s", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "1", "name": "Read", "input": {"a": 1}}]}}]
     (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, lines)))
     assert rows(api.query(spark, f"sessions://{tmp_path}/t.jsonl"), "path", "block_name", "block_input") == {("0", "Read", '{"a": 1}')}
+
+
+def test_front_matter_schema(spark, texts):
+    from sondage.operators import frontmatter
+
+    s = FM.structure(texts)
+    got = rows(frontmatter.check(s, ["title", "status"], {"title": "integer", "tags": "list"}, {"tags": "value=x"}), "path", "rule_code", "field")
+    assert got == {("docs/a.md", "F003", "status"), ("docs/a.md", "F004", "title"), ("docs/a.md", "F005", "tags")}
+    assert frontmatter.check(s).count() == 0
+
+
+def test_front_matter_address(spark, root):
+    assert rows(api.query(spark, f"frontmatter://{root}?required=status&types=title:integer"), "rule_code") == {"F003", "F004"}
+
+
+def test_similar_functions():
+    body = "".join(f"    x{i} = f(a, b)\n" for i in range(8))
+    text = f"def one(a, b):\n{body}\n\ndef two(a, b):\n{body}\n\ndef three():\n" + "".join(f"    print('{i}')\n" for i in range(9))
+    got = P.similar_functions("f", text)
+    assert [(g[1], g[3]) for g in got] == [("one", "two")] and got[0][5] > 0.99
+    assert P.similar_functions("f", "def (") == P.similar_functions("f", None) == []
