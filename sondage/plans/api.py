@@ -18,6 +18,7 @@ from ..operators.rules import BUILTIN
 from ..sources import files as file_source
 from ..sources import formats, python_code, stores
 from . import control, qlang
+from .staging import ship
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,7 @@ def parse(uri: str) -> Call:
 def query(spark: SparkSession, uri: str) -> DataFrame:
     """The rows that an address asks for."""
     call = parse(uri)
+    ship(spark)
     s = SCHEMES[call.scheme]
     df = qlang.where(s.run(spark, call), call.query, s.profile, s.aliases)
     df = control.page(df, call.page, [c for c in s.tiebreak if c in df.columns])

@@ -67,3 +67,22 @@ def sorted_map(
     on = list(partition_on or order)
     ranged = df.repartitionByRange(*[F.col(c) for c in on]).sortWithinPartitions(*order)
     return ranged.mapInArrow(fn, schema)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, wherever they run; once per application."""
+    import shutil
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parent.parent
+    if package.is_dir():
+        name = str(Path(tempfile.mkdtemp(prefix="sondage-code-")) / package.name)
+        archive = shutil.make_archive(name, "zip", root_dir=package.parent, base_dir=package.name)
+        spark.sparkContext.addPyFile(archive)  # the driver serves it to the executors

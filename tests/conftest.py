@@ -25,6 +25,9 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from sondage.plans.staging import ship
+
+    ship(s)  # the workers need the package, wherever the tests are started
     yield s
     s.stop()
 
