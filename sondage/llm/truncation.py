@@ -8,7 +8,8 @@ broken transfer has no fixed length, so the end of every text is read as well:
 unfinished structure (tag, entity, code, table row, quoted code) is a cut of
 itself; else the last word decides, by how often the corpus ends a line with it
 (words that end no line, parts of words that are no word). These counts come
-from all lines of all texts, pre-aggregated where they are read.
+from all lines of all different texts, pre-aggregated where they are read: copies
+count once, and no text counts for its own end.
 
 Defined results: null, empty and blank texts are no case; a complete text at a
 limit is no case; copies of a text are each reported; a null source is a source
@@ -141,7 +142,10 @@ def read_end(text: str | None) -> tuple[str, str, str]:
     return "open", form, token
 
 
-_OUT = "what string, doc_id bigint, source string, n_chars bigint, n_bytes bigint, verdict string, form string, token string, phrase string, n_all bigint, n_end bigint"
+_OFTEN = 3  # other texts that close alike, from which on an end is a usual one if more than twice as many texts close with it as break off at it
+_RARE = 20  # occurrences in different texts, below which a word proves nothing
+_BLANK = " \t\n\r\f\v\x00\u00a0\u200b\ufeff"  # what copies may differ in at their end
+_OUT = "what string, text_id string, verdict string, form string, token string, phrase string, n_all bigint, n_end bigint"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 _KINDS = [pa.int64() if c.endswith("bigint") else pa.string() for c in _OUT.split(", ")]
 
@@ -152,10 +156,9 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every: Counter = Counter()
         ends: Counter = Counter()
         rows = []
-        for i, text, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for i, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
             verdict, form, token = read_end(text)
-            n = len(text or "")
-            rows.append(("doc", i, source, n, len((text or "").encode("utf-8", "surrogatepass")), verdict, form, token, last_phrase(text) if form == "closing" else None, None, None))
+            rows.append(("text", i, verdict, form, token, last_phrase(text) if form in ("closing", "prose") else None, None, None))
             if verdict != "none":
                 lines = text.rstrip().split("\n")
                 every.update(" ".join(lines[:-1]).split())
@@ -166,7 +169,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = classes.setdefault(token_class(t), [0, 0])
             c[0] += n
             c[1] += ends.get(t, 0)
-        rows += [("token", None, None, None, None, None, None, t, None, a, e) for t, (a, e) in classes.items()]
+        rows += [("token", None, None, None, t, None, a, e) for t, (a, e) in classes.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
 
@@ -195,23 +198,20 @@ def length_spikes(lengths: DataFrame, column: str, least: int = 5, times: float
 
 def examine(documents: DataFrame, kept_words: int = 12) -> DataFrame:
     """Every text with ``is_cut`` and why: doc_id, source, n_chars, n_bytes, at_limit, reason, is_cut."""
-    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("source").cast("string"))
-    seen = stage(texts.mapInArrow(_observe, _OUT), "ends")
-    docs = seen.where("what = 'doc'").select(*_NAMES[1:9])
+    text = F.col("text").cast("string")
+    texts = documents.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.col("source").cast("string"), F.md5(F.rtrim(text, F.lit(_BLANK))).alias("text_id"))
+    # copies meet before they are read: each map task sends one of them, so a text under many ids is no hot key
+    different = texts.where("text is not null").groupBy("text_id").agg(F.any_value("text").alias("text"))
+    seen = stage(different.mapInArrow(_observe, _OUT), "ends")
+    ends = seen.where("what = 'text'").select(*_NAMES[1:6])
+    sizes = texts.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "text_id")
+    docs = stage(sizes.join(ends, "text_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("none"))), "judged")
     # lines that stand alone at the end: closing words, trailers, links
     alone = F.col("form").isin("closing", "trailer", "short")
-    open_ends = docs.where("verdict = 'open'").groupBy("token").agg(F.count_if(alone).alias("n_last"))
-    n_docs = docs.where("verdict <> 'none'").count()
+    open_ends = ends.where("verdict = 'open'").groupBy("token").agg(F.count_if(alone).alias("n_last"), F.count_if(~alone).alias("n_broken"))
     tokens = seen.where("what = 'token'").groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n_end").alias("n_end"))
-    stats = open_ends.join(tokens, "token", "left").select(
-        "token", "n_last", F.coalesce("n_all", F.lit(0)).alias("n_all"), F.coalesce("n_end", F.lit(0)).alias("n_end")
-    )
-    often = max(3, n_docs // 1000)
-    phrases = docs.where("verdict = 'open' and form = 'closing'").groupBy("phrase").agg(F.count("*").alias("n_phrase")).where(F.col("n_phrase") >= often)
-    # a word that often ends whole texts, as in closing lines, counts as an end as well
-    usual = F.when(F.col("n_last") >= often, F.col("n_last")).otherwise(0)
-    seen_at_all = F.greatest(F.col("n_all") + F.col("n_last"), F.lit(1))
-    stats = stats.select("token", ((F.col("n_end") + usual) / seen_at_all).alias("ends_share"), (usual / seen_at_all).alias("closing_share"), (F.col("n_all").between(1, 19) & ~F.col("token").startswith("<")).alias("rare"))
+    stats = open_ends.join(tokens, "token", "left")
+    phrases = ends.where("verdict = 'open' and phrase is not null").groupBy("phrase").agg(F.count_if(alone).alias("n_phrase"), F.count_if(~alone).alias("n_broken_phrase"))
     spikes_c = length_spikes(docs, "n_chars")
     spikes_b = length_spikes(docs.where("n_bytes <> n_chars"), "n_bytes")
     # words kept whole end up to kept_words characters below the limit
@@ -224,12 +224,21 @@ def examine(documents: DataFrame, kept_words: int = 12) -> DataFrame:
         .join(limits_b, ["source", "n_bytes"], "left")
         .withColumn("at_limit", F.coalesce("limit_c", "limit_b", F.lit(False)))
     )
-    share = F.coalesce("ends_share", F.lit(0.0))
+    n_all, n_end = F.coalesce("n_all", F.lit(0)), F.coalesce("n_end", F.lit(0))
+    # the other texts that end with the word on a line alone, or with the phrase: the judged one is among those counted
+    n_last = F.coalesce("n_last", F.lit(0)) - F.when((F.col("verdict") == "open") & alone, 1).otherwise(0)
+    # chance cuts within lines fall into prose and lists more often than onto a line alone, whatever the size of the table
+    n_phrase = F.coalesce("n_phrase", F.lit(0)) - 1
+    usual_phrase = (n_phrase >= _OFTEN) & (n_phrase > 2 * F.coalesce("n_broken_phrase", F.lit(0)))
+    # a word that often ends whole texts, as in closing lines, counts as an end as well
+    usual = F.when((n_last >= _OFTEN) & (n_last > 2 * F.coalesce("n_broken", F.lit(0))), n_last).otherwise(0)
+    seen_at_all = F.greatest(n_all + n_last, F.lit(1))
+    share, closing_share = (n_end + usual) / seen_at_all, usual / seen_at_all
     # a word seen, but too seldom to tell, proves nothing
-    told = ~F.coalesce("rare", F.lit(False))
+    told = ~(n_all.between(1, _RARE - 1) & ~F.col("token").startswith("<"))
     reason = (
         F.when(F.col("verdict") == "cut", F.concat(F.lit("unfinished "), "form"))
-        .when((F.col("verdict") == "open") & F.col("form").isin("prose", "closing") & ((F.col("form") == "prose") | ((F.coalesce("closing_share", F.lit(0.0)) < 0.5) & F.col("n_phrase").isNull())), "within a sentence")
+        .when((F.col("verdict") == "open") & F.col("form").isin("prose", "closing") & ((F.col("form") == "prose") | ((closing_share < 0.5) & ~usual_phrase)), "within a sentence")
         .when((F.col("verdict") == "open") & (F.col("form") != "closing") & told & (share < F.when(F.col("at_limit"), 0.05).otherwise(0.02)), "within a line")
     )
     return judged.select("doc_id", "source", "n_chars", "n_bytes", "at_limit", reason.alias("reason"), reason.isNotNull().alias("is_cut"), "form", "token", "verdict", share.alias("ends_share"))

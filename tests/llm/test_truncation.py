@@ -43,6 +43,17 @@ def test_cuts_are_found(spark):
     assert cut(spark, rows + [(1000 + i, t) for i, t in enumerate(bad)]) == {1000 + i for i in range(len(bad))}
 
 
+def test_copies_do_not_vouch_for_their_own_cut(spark):
+    whole = " ".join(sentence(random.Random(i)) for i in range(6))
+    ends = ["\n\nThe parser drops all of the gra", "\n\nThe gra", "\n\nReviewed-By: the gra"]  # closing, short, trailer
+    copies = [(1000 + 100 * k + i, whole + end + " \n" * (i % 2)) for k, end in enumerate(ends) for i in range(40)]
+    assert cut(spark, corpus() + copies) == {i for i, _ in copies}
+    # different texts do: the line is a usual one then, however many rows the table has
+    usual = [(2000 + i, sentence(random.Random(50 + i)) + f" Part {i}.\n\nThanks for all of the work") for i in range(4)]
+    assert cut(spark, corpus() + usual) == set() == cut(spark, corpus(6000) + usual)
+    assert cut(spark, corpus() + usual[:1] * 40) == {2000}
+
+
 def test_spikes(spark):
     rng = random.Random(2)
     lengths = [(rng.randint(100, 900),) for _ in range(300)] + [(640,)] * 25
