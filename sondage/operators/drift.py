@@ -249,7 +249,7 @@ def migration_rules(changes: DataFrame) -> DataFrame:
 
 
 def cast_value(v, kind: str):
-    """A value as the given JSON type; null where that cannot be."""
+    """A value as the given JSON type; null where that cannot be, and in an object of its own where an object is asked for."""
     if v is None or _KIND[type(v)] == kind:
         return v
     if kind == "string":
@@ -258,16 +258,27 @@ def cast_value(v, kind: str):
         return {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}.get(str(v).lower())
     if kind == "number":
         try:
-            return json.loads(v) if isinstance(v, str) and isinstance(json.loads(v), (int, float)) else int(v)
+            return json.loads(v) if isinstance(v, str) and type(json.loads(v)) in (int, float) else int(v)
         except (ValueError, TypeError):
             return None
-    return [v] if kind == "array" else None
+    return [v] if kind == "array" else {"value": v}
 
 
-def migrate(record: dict, rename: dict[str, str], cast: dict[str, str]) -> dict:
-    """A record in the canonical layout: keys renamed, values cast, at any depth."""
+def migrate(record: dict, rename: dict[str, str], cast: dict[str, str], uncast: dict | None = None) -> dict:
+    """A record in the canonical layout: keys renamed, values cast, at any depth.
 
-    def go(v, here: str, canon: str):
+    ``uncast`` gets each value whose cast does not fit, as it was, by its canonical path with positions.
+    """
+
+    def fit(v, x, c: str, at: str):
+        if c not in cast:
+            return x
+        y = cast_value(x, cast[c])
+        if uncast is not None and x is not None and (y is None or (cast[c] == "object" and not isinstance(x, dict))):
+            uncast[at] = v
+        return y
+
+    def go(v, here: str, canon: str, at: str):
         if isinstance(v, dict):
             out = {}
             for k, x in v.items():
@@ -275,20 +286,22 @@ def migrate(record: dict, rename: dict[str, str], cast: dict[str, str]) -> dict:
                 c = rename.get(p)
                 key = c.rpartition(".")[2] if c is not None else k
                 c = f"{canon}.{key}" if canon else key
-                x = go(x, p, c)
-                out[key] = cast_value(x, cast[c]) if c in cast else x
+                a = f"{at}.{key}" if at else key
+                out[key] = fit(x, go(x, p, c, a), c, a)
             return out
         if isinstance(v, list):
-            return [go(x, f"{here}[]", f"{canon}[]") for x in v]
+            c = f"{canon}[]"
+            return [fit(x, go(x, f"{here}[]", c, f"{at}[{i}]"), c, f"{at}[{i}]") for i, x in enumerate(v)]
         return v
 
-    return go(record, "", "")
+    return go(record, "", "", "")
 
 
 def consistent_records(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Every parsable record of every file in the canonical layout of its series.
 
-    series_id, file_seq, line_no, version, type, uuid, session_id, ts, cwd, message (JSON), rest (JSON).
+    series_id, file_seq, line_no, version, type, uuid, session_id, ts, cwd, message (JSON), rest (JSON), uncast (JSON: path and value of each
+    value that does not fit the type it is cast to, null where all do).
     """
     rules = migration_rules(stage(schema_changes(stage(file_schemas(files, lines), "schemas")), "changes"))
     known = files.where("series_id is not null and file_seq is not null")
@@ -310,17 +323,18 @@ def consistent_records(files: DataFrame, lines: DataFrame) -> DataFrame:
                     continue
                 if rule not in loaded:
                     loaded[rule] = json.loads(rule)
+                uncast: dict = {}
                 try:
-                    r = migrate(record, **loaded[rule])
+                    r = migrate(record, **loaded[rule], uncast=uncast)
                 except RecursionError:  # nested beyond reason: left in its own layout
-                    r = record
+                    r, uncast = record, {}
                 keep.append(i)
-                rows.append((*(text(r.pop(k, None)) for k in ("type", "uuid", "sessionId", "timestamp", "cwd", "message")), json.dumps(r, ensure_ascii=False, sort_keys=True)))
+                rows.append((*(text(r.pop(k, None)) for k in ("type", "uuid", "sessionId", "timestamp", "cwd", "message")), json.dumps(r, ensure_ascii=False, sort_keys=True), json.dumps(uncast, ensure_ascii=False, sort_keys=True) if uncast else None))
             if rows:
                 head = batch.take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(
                     [*(head.column(i) for i in range(4)), *(pa.array(c, pa.string()) for c in zip(*rows))],
-                    names=["series_id", "file_seq", "line_no", "version", "type", "uuid", "session_id", "ts", "cwd", "message", "rest"],
+                    names=["series_id", "file_seq", "line_no", "version", "type", "uuid", "session_id", "ts", "cwd", "message", "rest", "uncast"],
                 )
 
     joined = lines.select("file_id", "line_no", "raw_line").join(routed, "file_id").select(
@@ -328,5 +342,5 @@ def consistent_records(files: DataFrame, lines: DataFrame) -> DataFrame:
     )
     return joined.mapInArrow(
         apply,
-        "series_id string, file_seq bigint, line_no bigint, version bigint, type string, uuid string, session_id string, ts string, cwd string, message string, rest string",
+        "series_id string, file_seq bigint, line_no bigint, version bigint, type string, uuid string, session_id string, ts string, cwd string, message string, rest string, uncast string",
     )

@@ -181,6 +181,20 @@ def test_one_consistent_table(spark):
     assert D.consistent_records(*series(spark, [])).count() == 0
 
 
+def test_no_value_is_lost_by_a_cast(spark):
+    j = json.dumps
+    files = [
+        ("s", 1, [j({"uuid": "1", "message": {"usage": {"n": 1}, "size": 1, "c": [{"ok": True}]}})]),
+        ("s", 2, [j({"uuid": "2", "message": {"usage": 17, "size": "big", "c": [{"ok": "yes"}, {"ok": "perhaps"}]}})]),
+        ("s", 3, [j({"uuid": "3", "message": {"usage": 18, "size": "true", "c": [{"ok": "no"}]}})]),
+    ]
+    rows = sorted(D.consistent_records(*series(spark, files)).collect(), key=lambda r: r.uuid)
+    assert [json.loads(r.message)["usage"] for r in rows] == [{"n": 1}, {"value": 17}, {"value": 18}]
+    assert [json.loads(r.uncast or "{}") for r in rows] == [
+        {}, {"message.usage": 17, "message.size": "big", "message.c[1].ok": "perhaps"}, {"message.usage": 18, "message.size": "true"},
+    ]
+
+
 # --- features ---
 
 
