@@ -219,13 +219,15 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
 
 
 def _chain(changes: pd.DataFrame) -> pd.DataFrame:
-    """The changes of one series, folded in order into the rule of each version that follows a change.
+    """The changes of one series, folded in order into the rule of each version.
 
-    A rule maps the version's paths to canonical ones (those of the series' first file) and names the type to cast to.
+    A rule maps the version's paths to canonical ones (those of the series' first file), names the type to cast to, and
+    gives the value of each field that comes or goes along the series where a record lacks it. Version 1 precedes all changes.
     """
     rename: dict[str, str] = {}
     cast: dict[str, str] = {}
-    out = []
+    default: dict[str, None] = {}
+    out = [(0, -(2**62), "{}", "{}")]
     changes = changes.sort_values(["file_seq", "change_kind", "old_path", "new_path"], kind="stable")
     for seq, step in changes.groupby("file_seq", sort=True):
         for kind, a, b, types in zip(step.change_kind, step.old_path, step.new_path, step.old_types):
@@ -235,15 +237,21 @@ def _chain(changes: pd.DataFrame) -> pd.DataFrame:
                     del rename[b]
             elif kind == "retyped":
                 cast.setdefault(rename.get(a, a), types.split(",")[0])
-        out.append((step.series_id.iloc[0], int(seq), len(out) + 2, json.dumps({"rename": rename, "cast": cast}, sort_keys=True)))
-    table = pd.DataFrame(out, columns=["series_id", "since_seq", "version", "rule"])
+            else:
+                path = rename.get(a or b, a or b)
+                if not path.endswith("[]"):  # an array may be without elements
+                    default[path] = None
+        out.append((len(out), int(seq), json.dumps(rename, sort_keys=True), json.dumps(cast, sort_keys=True)))
+    # the layout of a series has all fields that any of its files has, so defaults hold for all versions
+    rule = [json.dumps({"rename": json.loads(x), "cast": json.loads(y), "default": default}, sort_keys=True) for _, _, x, y in out]
+    table = pd.DataFrame({"series_id": changes.series_id.iloc[0], "since_seq": [q for _, q, _, _ in out], "version": [n + 1 for n, _, _, _ in out], "rule": rule})
     table["until_seq"] = table["since_seq"].shift(-1).fillna(2**62).astype("int64")
     return table
 
 
 def migration_rules(changes: DataFrame) -> DataFrame:
-    """series_id, since_seq, until_seq, version, rule. Grouped are renames and type changes, which number as a series' layouts, not as its rows."""
-    return changes.where("change_kind in ('renamed', 'retyped')").groupBy("series_id").applyInPandas(
+    """series_id, since_seq, until_seq, version, rule. Grouped are changes, which number as a series' layouts, not as its rows."""
+    return changes.groupBy("series_id").applyInPandas(
         _chain, "series_id string, since_seq bigint, version bigint, rule string, until_seq bigint"
     )
 
@@ -264,12 +272,16 @@ def cast_value(v, kind: str):
     return [v] if kind == "array" else {"value": v}
 
 
-def migrate(record: dict, rename: dict[str, str], cast: dict[str, str], uncast: dict | None = None) -> dict:
-    """A record in the canonical layout: keys renamed, values cast, at any depth.
+def migrate(record: dict, rename: dict[str, str], cast: dict[str, str], uncast: dict | None = None, default: dict | None = None) -> dict:
+    """A record in the canonical layout: keys renamed, values cast, missing fields given their default, at any depth.
 
     ``uncast`` gets each value whose cast does not fit, as it was, by its canonical path with positions.
     """
 
+    lacking: dict[str, dict] = defaultdict(dict)
+    for path, v in (default or {}).items():
+        lacking[parent(path)][path.rpartition(".")[2]] = v
+
     def fit(v, x, c: str, at: str):
         if c not in cast:
             return x
@@ -288,6 +300,8 @@ def migrate(record: dict, rename: dict[str, str], cast: dict[str, str], uncast:
                 c = f"{canon}.{key}" if canon else key
                 a = f"{at}.{key}" if at else key
                 out[key] = fit(x, go(x, p, c, a), c, a)
+            for key, x in lacking.get(canon, {}).items():
+                out.setdefault(key, x)
             return out
         if isinstance(v, list):
             c = f"{canon}[]"
@@ -314,7 +328,7 @@ def consistent_records(files: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str | None, dict] = {None: {"rename": {}, "cast": {}}}
+        loaded: dict[str | None, dict] = {None: {"rename": {}, "cast": {}, "default": {}}}
         text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
         for batch in batches:
             keep, rows = [], []

@@ -195,6 +195,22 @@ def test_no_value_is_lost_by_a_cast(spark):
     ]
 
 
+def test_fields_that_come_and_go_get_defaults(spark):
+    j = json.dumps
+    files = [
+        ("s", 1, [j({"uuid": "1", "old": {"k": 1}, "message": {"c": [{"t": 1}]}})]),
+        ("s", 2, [j({"uuid": "2", "old": {"k": 1}, "message": {"c": [{"t": 1, "caller": "x"}, {"t": 2}], "more": []}})]),
+        ("s", 3, [j({"uuid": "3", "message": {"c": [{"t": 1, "caller": "x"}], "more": []}})]),
+    ]
+    rows = sorted(D.consistent_records(*series(spark, files)).collect(), key=lambda r: r.uuid)
+    assert [r.version for r in rows] == [1, 2, 3]
+    assert [json.loads(r.rest) for r in rows] == [{"old": {"k": 1}}, {"old": {"k": 1}}, {"old": None}]
+    assert [json.loads(r.message) for r in rows] == [
+        {"c": [{"t": 1, "caller": None}], "more": None}, {"c": [{"t": 1, "caller": "x"}, {"t": 2, "caller": None}], "more": []},
+        {"c": [{"t": 1, "caller": "x"}], "more": []},
+    ]
+
+
 # --- features ---
 
 
