@@ -218,6 +218,19 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
 # --- migration ---------------------------------------------------------------------------------------------------
 
 
+def canonical(path: str, rename: dict[str, str]) -> str:
+    """A version's path in the canonical layout, key by key from the outermost, as renamed parents may hold renamed keys."""
+    here = canon = ""
+    for part in path.split("."):
+        key = part.rstrip("[]")
+        tail = part[len(key) :]
+        here = f"{here}.{key}" if here else key
+        key = rename.get(here, here).rpartition(".")[2]
+        canon = (f"{canon}.{key}" if canon else key) + tail
+        here += tail
+    return canon
+
+
 def _chain(changes: pd.DataFrame) -> pd.DataFrame:
     """The changes of one series, folded in order into the rule of each version.
 
@@ -232,13 +245,15 @@ def _chain(changes: pd.DataFrame) -> pd.DataFrame:
     for seq, step in changes.groupby("file_seq", sort=True):
         for kind, a, b, types in zip(step.change_kind, step.old_path, step.new_path, step.old_types):
             if kind == "renamed":
-                rename[b] = rename.pop(a, a)
-                if rename[b] == b:
-                    del rename[b]
+                c = canonical(a, rename)
+                # what is below moves along with its parent
+                rename = {b + p[len(a) :] if p.startswith((a + ".", a + "[")) else p: x for p, x in rename.items() if p != a}
+                if c.rpartition(".")[2] != b.rpartition(".")[2]:
+                    rename[b] = c
             elif kind == "retyped":
-                cast.setdefault(rename.get(a, a), types.split(",")[0])
+                cast.setdefault(canonical(a, rename), types.split(",")[0])
             else:
-                path = rename.get(a or b, a or b)
+                path = canonical(a or b, rename)
                 if not path.endswith("[]"):  # an array may be without elements
                     default[path] = None
         out.append((len(out), int(seq), json.dumps(rename, sort_keys=True), json.dumps(cast, sort_keys=True)))
@@ -297,6 +312,8 @@ def migrate(record: dict, rename: dict[str, str], cast: dict[str, str], uncast:
                 p = f"{here}.{k}" if here else k
                 c = rename.get(p)
                 key = c.rpartition(".")[2] if c is not None else k
+                if key != k and key in v and (f"{here}.{key}" if here else key) not in rename:
+                    key = k  # another field has the old name by now: both stay
                 c = f"{canon}.{key}" if canon else key
                 a = f"{at}.{key}" if at else key
                 out[key] = fit(x, go(x, p, c, a), c, a)

@@ -211,6 +211,19 @@ def test_fields_that_come_and_go_get_defaults(spark):
     ]
 
 
+def test_rules_chain_below_a_renamed_parent(spark):
+    j = json.dumps
+    layouts = [
+        {"p": {"old": [{"leaf": "x", "n": 1}]}}, {"p": {"new": [{"leaf": "x", "n": 1}]}},  # the parent, then what is below
+        {"p": {"new": [{"twig": "x", "n": 1}]}}, {"p": {"new": [{"twig": "x", "n": "1"}]}},
+        {"q": {"new": [{"twig": "x", "n": "1"}]}}, {"q": {"last": [{"twig": "x", "n": "1"}]}},  # and a parent above all that
+    ]
+    files = [("s", k + 1, [j({"uuid": str(k), **x})]) for k, x in enumerate(layouts)]
+    rows = D.consistent_records(*series(spark, files)).collect()
+    assert len(rows) == 6 and {(r.rest, r.uncast) for r in rows} == {(j(layouts[0]), None)}
+    assert D.migrate({"a": 1, "b": 2}, {"b": "a"}, {}) == {"a": 1, "b": 2} and D.migrate({"b": 2}, {"b": "a"}, {}) == {"a": 2}
+
+
 # --- features ---
 
 
