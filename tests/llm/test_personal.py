@@ -73,6 +73,68 @@ def test_tables(messages):
     assert find_personal(messages([])).count() == 0
 
 
+#: Names of which no part occurs in the project's data; the first given names are listed, the others are not.
+LISTED = "Michael Maria Emily John Wei Fatima Carlos Anna David Yuki Hassan Julia Robert Sofia Rahul Karen Luca Ingrid Samuel Chloe".split()
+UNLISTED = "Tadeusz Nkechi Sunita Bartholomew Xiomara Oluwaseun Tuomas Ifeoma Zbigniew Thandiwe Guadalupe Ximena Kwabena Siobhan Yevgenia".split()
+FAMILIES = (
+    "Johnson Garcia Chen Smith Zhang Kowalczyk Okonkwo Patel Rodriguez Nguyen Müller Rossi Dubois Yamamoto Haddad Fernandez Novak Eriksson Papadopoulos"
+    " O'Brien Hernandez Nakamura Petrov Olsen Moreau"
+).split()
+PLACES = (
+    "{} said it works.", "Talked to {}, who left.", "Author: {} <x>", "the page of {} was read twice", "Thanks, {}", "# TODO({}): later", "we met {} again in March.",
+    "Reviewed-by: {}", "(owner={}; open)", "Dear {}, the report is there", "I asked for {} and waited.",
+)
+NO_NAMES = (
+    "Bruno Release, Oskar Server and Viktor Config start.|The Hugo frontmatter schema|Visual Studio opens New York time|Merge Sort and Binary Tree|Thanks, Main Branch is green"
+    "|Author: Release Team|by Default Policy|from Import Graph to Call Graph|Regards to Quality Gate|cc: Build Agent|# TODO(parser): Retry Budget|Contact Support|Ask Question"
+    "|Ticket REF-987 blocks Feature Flag|Rule L611 flags Pull Request|step A. Then B.|see section C. Look there|Max Value and Will Call|Dear Team, Hello World|Grace Period is over"
+).split("|")
+
+
+def test_names_that_share_no_part_with_the_data():
+    hit = wrong = unlisted_hit = total = unlisted = 0
+    for i, family in enumerate(FAMILIES):
+        for j, place in enumerate(PLACES):
+            given_name = LISTED[(3 * i + j) % len(LISTED)]
+            name = f"{given_name} {family}" if j % 4 else f"{given_name} K. {family}"
+            got = kinds(place.format(name))
+            total, hit, wrong = total + 1, hit + ((name, "name") in got), wrong + sum(x != (name, "name") for x in got)
+            name = f"{UNLISTED[(5 * i + j) % len(UNLISTED)]} {family}"
+            got = kinds(place.format(name))
+            unlisted, unlisted_hit, wrong = unlisted + 1, unlisted_hit + ((name, "name") in got), wrong + sum(x != (name, "name") for x in got)
+    wrong += sum(len(kinds(t)) for t in NO_NAMES)
+    print(f"listed {hit / total:.3f}, not listed {unlisted_hit / unlisted:.3f}, precision {(hit + unlisted_hit) / (hit + unlisted_hit + wrong):.3f}", [kinds(t) for t in NO_NAMES if kinds(t)])
+    assert hit / total >= 0.98
+    assert unlisted_hit / unlisted >= 0.6  # six of the eleven places introduce a person
+    assert (hit + unlisted_hit) / (hit + unlisted_hit + wrong) >= 0.95
+
+
+def test_accounts_agree_with_names():
+    assert ("Nkechi Okonkwo", "name") in kinds("as Nkechi Okonkwo wrote (nkechi.okonkwo@mail.example.org)")
+    assert kinds("as Nkechi Okonkwo wrote") == []  # no list, cue or account speaks for it
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("AB123456C", "identity"), ("123.456.789-09", "identity"), ("P<X1234567", "identity"), ("0171-1234567", "phone"), ("5 Foo Parkway, Springfield", "address"),
+        ("12 Oak Pkwy", "address"), ("Via Roma 12, 00184 Roma", "address"), ("Rua Augusta 5", "address"), ("7 allée des Tilleuls", "address"), ("3 passage du Nord", "address"),
+        ("bob ( at ) site.org", "email"), ("bob<at>site.org", "email"), ("bob[arobase]site.org", "email"), ("9 Elm Pl", "address"), ("9 Elm Sq.", "address"),
+    ],
+)
+def test_every_form_is_anchored_on_its_own(text, kind):
+    assert [(k, text[s:e]) for s, e, k in F.mentions(text)] == [(kind, text)]
+
+
+def test_other_logins():
+    named = {c: F.login(f"/home/{c}/src") is not None for c in "msmith emilychen priyas kowalczyk jdoe hugoserver gretatest1 buildagent webapp azureuser gitpod circleci node2".split()}
+    assert {c for c, x in named.items() if x} == {"msmith", "emilychen", "priyas", "kowalczyk", "jdoe"}
+
+
+def test_remotes_of_any_length_are_no_mail():
+    assert kinds("bob@forge.example.org:" + "a/" * 400 + "x.git") == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=300))
 def test_any_text_is_read_and_spans_are_sound(text):
