@@ -2,12 +2,19 @@
 
 Q-gram lemma filtering. Both sides are reduced to plain words; shared character
 q-grams between documents and items are counted in overlapping bands of
-diagonals (position in the document minus position in the item); by the q-gram
-lemma a passage of ``min_words`` words with the allowed edits still shares a
-certain number of q-grams, so only regions that reach this bound are kept, and
-each is verified by a banded alignment of words. The items are the stated query
-set: they go to every task, in blocks of bounded size, while all documents pass
-by once per block; no document meets another.
+diagonals. Diagonals are counted in words (words before the gram in the document
+minus words before it in the item), so an edit moves what follows by one at most,
+however long the word that was put in, and a band as wide as twice the edit
+budget holds all of a passage. By the q-gram lemma a passage with the allowed
+edits still shares a certain number of q-grams, so only regions that reach this
+bound are kept; the bound is the least over all lengths that a passage may have.
+Each region is verified by a banded alignment of words: from every run of equal
+words that a passage must contain at least, the furthest reach to both sides for
+each number of edits. The filter loses no passage, and the alignment is exact.
+
+The items are the stated query set: their index is built once for each block of
+bounded size and goes to the tasks as arrays; all documents pass by once per
+block, reduced to words only once; no document meets another.
 
 Defined results: null or empty texts leak nothing; an item of fewer than
 ``min_words`` words cannot leak; several ids of one text are each reported;
@@ -27,14 +34,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_INLINE = re.compile(r"</?(?:b|i|u|em|strong|code|span|a|mark|small|sub|sup|tt|font)(?:\s[^<>]{0,300})?>", re.I)
-_TAG = re.compile(r"<!--.{0,5000}?-->|</?[A-Za-z][^<>]{0,1000}>", re.S)
+from ..plans.staging import stage
+
+_INLINE = re.compile(r"</?(?:b|i|u|em|strong|code|span|a|mark|small|sub|sup|tt|font)(?:\s[^<>]*)?>", re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _JOIN = re.compile(r"[­​-‏⁠﻿*`~]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = re.compile(r"[a-z0-9]+")
 
 
+def without_comments(text: str) -> str:
+    """Markup comments of any length left out; what is never closed is text."""
+    out, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
+        out += [text[at:a], " "]
+        at = b + 3
+    return "".join([*out, text[at:]])
+
+
 def plain_words(text: str | None) -> list[str]:
     """The words of a text regardless of case, punctuation, layout and markup."""
     if not text:
@@ -44,6 +62,8 @@ def plain_words(text: str | None) -> list[str]:
         if "&" in text:
             text = html.unescape(text)
     if "<" in text:
+        if "<!--" in text:
+            text = without_comments(text)
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if "-\n" in text or "-\r" in text or "- \n" in text:
         text = _BROKEN.sub("", text)
@@ -81,178 +101,227 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-class ItemIndex:
-    """The q-grams of a block of items, with the number that a leaked passage must share."""
+def least_shared(sizes: np.ndarray, q: int, min_words: int, per_edit: int) -> int:
+    """The fewest q-grams that a passage shares, over all its places and lengths: below twice ``min_words``, as a longer one holds a shorter.
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int = 20, per_edit: int = 8, longest_q: int = 20):
-        self.min_words, self.per_edit = min_words, per_edit
-        self.ids, self.words = [], []
-        for i, t in items:
-            w = plain_words(t)
-            if len(w) >= min_words:
-                self.ids.append(i)
-                self.words.append(w)
-        self.q = longest_q
-        while self.q > 4 and min((self._bound(w, self.q) for w in self.words), default=9) < 8:
-            self.q -= 1
-        self.need = np.array([max(1, self._bound(w, self.q)) for w in self.words], np.int64)
-        codes, item, pos = [], [], []
-        for k, w in enumerate(self.words):
-            h = gram_hashes(_codes(" ".join(w)), self.q)
-            codes.append(h)
+    ``sizes``: the length of each word of the item and the space after it. An edit spoils the grams that touch a word.
+    """
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    least = None
+    for n in range(min_words, min(2 * min_words - 1, len(sizes)) + 1):
+        e = n // per_edit
+        windows = np.lib.stride_tricks.sliding_window_view(sizes, n)
+        worst = np.sort(windows, axis=1)[:, n - e :].sum(axis=1) if e else 0
+        b = int((total[n:] - total[:-n] - 1 - q + 1 - worst - e * (q - 1)).min())
+        least = b if least is None else min(least, b)
+    return 0 if least is None else least
+
+
+class GramTable:
+    """The q-grams of items, sorted, with the item and the number of words before each."""
+
+    def __init__(self, q: int, keys: list[int], texts: list[str], need: list[int]):
+        self.q, self.keys = q, np.array(keys, np.int64)
+        self.need = np.array(need, np.int64)
+        hashes, item, word = [], [], []
+        for k, t in enumerate(texts):
+            codes = _codes(t)
+            h = gram_hashes(codes, q)
+            hashes.append(h)
             item.append(np.full(len(h), k, np.int32))
-            pos.append(np.arange(len(h), dtype=np.int32))
-        h = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+            word.append(_words_before(codes)[: len(h)].astype(np.int32))
+        h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int32)
-        self.pos = np.concatenate(pos)[order] if pos else np.zeros(0, np.int32)
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.hash >> np.uint64(42)).astype(np.int64)] = True
-        n = min_words
-        self.exact = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in self.words]
-
-    def _bound(self, words: list[str], q: int) -> int:
-        """The fewest q-grams shared by any min_words words in a row under the allowed edits."""
-        n, e = self.min_words, self.min_words // self.per_edit
-        sizes = np.array([len(w) + 1 for w in words])
-        least = None
-        for i in range(len(words) - n + 1):
-            s = sizes[i : i + n]
-            b = int(s.sum()) - 1 - q + 1 - int(np.sort(s)[-e:].sum() if e else 0) - e * (q - 1)
-            least = b if least is None else min(least, b)
-        return least if least is not None else 0
+        self.hash, self.item, self.word = h[order], np.concatenate(item)[order], np.concatenate(word)[order]
+        self.shift = np.uint64(64 - max(16, int(16 * len(h)).bit_length()))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[(self.hash >> self.shift).astype(np.int64)] = True
 
-    def candidates(self, texts: list[str]) -> dict[tuple[int, int], list[int]]:
-        """(text, item) -> diagonals (in characters) of the bands that reach the bound."""
-        if not len(self.hash) or not texts:
-            return {}
-        joined = "\x00".join(texts)
-        h = gram_hashes(_codes(joined), self.q)
-        at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-        hh = h[at]
-        lo = np.searchsorted(self.hash, hh, "left")
-        hi = np.searchsorted(self.hash, hh, "right")
-        n = hi - lo
+    def bands(self, codes: np.ndarray, starts: np.ndarray, words: np.ndarray, step: int) -> list[tuple[int, int, int]]:
+        """(text, item, first diagonal of the band) wherever the bound is reached; ``starts``: where each text begins."""
+        h = gram_hashes(codes, self.q)
+        at = np.flatnonzero(self.bits[(h >> self.shift).astype(np.int64)])
+        lo = np.searchsorted(self.hash, h[at], "left")
+        n = np.searchsorted(self.hash, h[at], "right") - lo
         keep = n > 0
         at, lo, n = at[keep], lo[keep], n[keep]
         if not len(at):
-            return {}
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        doc = np.searchsorted(starts, at, "right") - 1
+            return []
+        text = np.searchsorted(starts, at, "right") - 1
         rep = np.repeat(np.arange(len(at)), n)
         idx = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        item, pos = self.item[idx].astype(np.int64), self.pos[idx].astype(np.int64)
-        diagonal = (at - starts[doc])[rep] - pos
-        width = 64
-        band = (diagonal + (1 << 30)) // (width // 2)
-        key = (doc[rep].astype(np.int64) * len(self.ids) + item) << 32
-        out: dict[tuple[int, int], list[int]] = {}
+        item = self.item[idx].astype(np.int64)
+        diagonal = (words[at] - words[starts[text]])[rep] - self.word[idx]
+        band = (diagonal + (1 << 30)) // step
+        key = (text[rep].astype(np.int64) * len(self.keys) + item) << 32
         # every hit counts in the two bands that overlap there
         both, count = np.unique(np.concatenate([key + band, key + band - 1]), return_counts=True)
         pair = both >> 32
-        full = count >= self.need[pair % len(self.ids)]
-        for k, b in zip(pair[full].tolist(), (both[full] & 0xFFFFFFFF).tolist()):
-            out.setdefault((k // len(self.ids), k % len(self.ids)), []).append(b * (width // 2) - (1 << 30) + width // 2)
+        full = count >= self.need[pair % len(self.keys)]
+        return [
+            (int(k) // len(self.keys), int(self.keys[int(k) % len(self.keys)]), int(x) * step - (1 << 30))
+            for k, x in zip(pair[full], both[full] & 0xFFFFFFFF)
+        ]
+
+
+class ItemIndex:
+    """A block of items: their q-grams by the length of q that suits them, and their words for the alignment."""
+
+    def __init__(self, items: list[tuple[int, str]], min_words: int = 20, per_edit: int = 8, lengths: tuple[int, ...] = (20, 16, 12, 8, 6, 4, 2), enough: int = 12):
+        self.min_words, self.per_edit = min_words, per_edit
+        self.most = (2 * min_words - 1) // per_edit
+        #: a passage with e edits has e + 1 runs of equal words at most, so one of them is at least this long
+        self.seed = max(1, min(-(-(n - n // per_edit) // (n // per_edit + 1)) for n in range(min_words, 2 * min_words)))
+        self.ids, self.words = [], []
+        chosen: dict[int, list[tuple[int, int]]] = {}
+        for i, t in items:
+            w = plain_words(t)
+            if len(w) < min_words:
+                continue
+            sizes = np.array([len(x) + 1 for x in w])
+            for q in lengths:
+                need = least_shared(sizes, q, min_words, per_edit)
+                if need >= enough or q == lengths[-1]:
+                    chosen.setdefault(q, []).append((len(self.ids), max(1, need)))
+                    break
+            self.ids.append(i)
+            self.words.append(w)
+        self.tables = [GramTable(q, [k for k, _ in x], [" ".join(self.words[k]) for k, _ in x], [n for _, n in x]) for q, x in sorted(chosen.items())]
+        self._runs: dict[int, dict[tuple, list[int]]] = {}
+
+    def candidates(self, texts: list[str]) -> dict[tuple[int, int], list[int]]:
+        """(text, item) -> first diagonals (in words) of the bands that reach the bound."""
+        out: dict[tuple[int, int], list[int]] = {}
+        if not self.tables or not texts:
+            return out
+        codes = _codes(SEPARATOR.join(texts))
+        words = _words_before(codes)
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        starts = np.minimum(starts, max(0, len(codes) - 1))
+        for table in self.tables:
+            for text, k, d in table.bands(codes, starts, words, max(1, self.most)) if len(codes) else ():
+                out.setdefault((text, k), []).append(d)
         return out
 
+    def _seeds(self, k: int) -> dict[tuple, list[int]]:
+        """Where each run of as many words as a seed has begins in an item; made when the item is first met."""
+        runs = self._runs.get(k)
+        if runs is None:
+            if len(self._runs) > 5000:
+                self._runs.clear()
+            runs = self._runs[k] = {}
+            w = self.words[k]
+            for i in range(len(w) - self.seed + 1):
+                runs.setdefault(tuple(w[i : i + self.seed]), []).append(i)
+        return runs
+
     def verify(self, doc: list[str], k: int, diagonals: list[int]) -> bool:
-        item = self.words[k]
-        size = len(" ".join(item))
-        ends = np.cumsum([len(w) + 1 for w in doc])
-        done = -1
+        item, n = self.words[k], self.seed
+        runs = self._seeds(k)
+        width = 2 * max(1, self.most)
+        done: set[tuple[int, int]] = set()  # (diagonal, end in the item) of runs tried
+        last = -1
         for d in sorted(diagonals):
-            lo = int(np.searchsorted(ends, d - 96, "right"))
-            hi = min(len(doc), int(np.searchsorted(ends, d + size + 96, "right")) + 1)
-            if hi <= done:
-                continue
-            region = doc[lo:hi]
-            n = self.min_words
-            if any(tuple(region[i : i + n]) in self.exact[k] for i in range(len(region) - n + 1)):
-                return True
-            if self._align(item, region, d - (int(ends[lo - 1]) if lo else 0)):
-                return True
-            done = -1
+            lo, hi = max(0, d, last), min(len(doc), d + width + len(item))
+            for j in range(lo, hi - n + 1):
+                for i in runs.get(tuple(doc[j : j + n]), ()):
+                    if i and j and item[i - 1] == doc[j - 1] and j > lo:
+                        continue  # not where its run begins
+                    if self._passage(item, doc, i, j, done):
+                        return True
+            last = max(last, hi - n + 1)
         return False
 
-    def _align(self, item: list[str], region: list[str], shift: int, slack: int = 24) -> bool:
-        """Banded local alignment of words, then a window with enough words and few enough edits on its path."""
-        # word position that the diagonal points to, for each item word
-        ends_i = np.cumsum([len(w) + 1 for w in item])
-        ends_r = np.cumsum([len(w) + 1 for w in region])
-        centre = np.searchsorted(ends_r, ends_i + shift - 1, "left").tolist()
-        m = len(region)
-        best, where = 0, None
-        prev: dict[int, int] = {}
-        moves: list[dict[int, int]] = []
-        for i, w in enumerate(item):
-            row: dict[int, int] = {}
-            move: dict[int, int] = {}
-            left = 0
-            for j in range(max(0, centre[i] - slack), min(m, centre[i] + slack + 1)):
-                s, how = prev.get(j - 1, 0) + (1 if region[j] == w else -1), 1
-                up = prev.get(j, 0) - 1
-                if up > s:
-                    s, how = up, 2
-                if left - 1 > s:
-                    s, how = left - 1, 3
-                if s <= 0:
-                    left = 0
-                    continue
-                row[j] = left = s
-                move[j] = how
-                if s > best:
-                    best, where = s, (i, j)
-            prev = row
-            moves.append(move)
-        if where is None:
+    def _passage(self, item: list[str], doc: list[str], i: int, j: int, done: set) -> bool:
+        """Whether the run of equal words at (i, j) lies in a passage."""
+        while i and j and item[i - 1] == doc[j - 1]:
+            i, j = i - 1, j - 1
+        end = i
+        while end < len(item) and end - i + j < len(doc) and item[end] == doc[end - i + j]:
+            end += 1
+        if (j - i, end) in done:
             return False
-        ops: list[tuple[int, int]] = []  # (item words, edits) of each step
-        i, j = where
-        while i >= 0 and (how := moves[i].get(j)):
-            if how == 1:
-                ops.append((1, int(region[j] != item[i])))
-                i, j = i - 1, j - 1
-            elif how == 2:
-                ops.append((1, 1))
-                i -= 1
-            else:
-                ops.append((0, 1))
-                j -= 1
-        # words of the item before and after the path may count as changed or left out
-        most = 2 * self.min_words // self.per_edit
-        ops += [(1, 1)] * min(most, i + 1)
-        ops = [(1, 1)] * min(most, len(item) - 1 - where[0]) + ops
-        return has_passage(ops, self.min_words, self.per_edit)
-
-
-def has_passage(ops: list[tuple[int, int]], min_words: int, per_edit: int) -> bool:
-    """A stretch with at least min_words words and at most one edit in per_edit of them.
-
-    A longer stretch that fits has a half that fits, so lengths below twice the least suffice.
-    """
-    n = np.concatenate([[0], np.cumsum([a for a, _ in ops])])
-    e = np.concatenate([[0], np.cumsum([b for _, b in ops])])
-    for i in range(len(ops)):
-        words, edits = n[i + 1 :] - n[i], e[i + 1 :] - e[i]
-        if ((words >= min_words) & (edits * per_edit <= words)).any():
+        done.add((j - i, end))
+        if end - i >= self.min_words:
             return True
-    return False
+        right = furthest(item, doc, end, end - i + j, 1, self.most)
+        left = furthest(item, doc, i - 1, j - 1, -1, self.most)
+        for a, x in enumerate(left):
+            for b, y in enumerate(right[: self.most + 1 - a]):
+                words = x + y + end - i
+                if words >= self.min_words and (a + b) * self.per_edit <= words:
+                    return True
+        return False
+
+
+def furthest(item: list[str], doc: list[str], i: int, j: int, way: int, most: int) -> list[int]:
+    """For each number of edits up to ``most``, how many words of the item can be passed from (i, j), in one direction."""
+    n = len(item) - i if way > 0 else i + 1
+    m = len(doc) - j if way > 0 else j + 1
+    out = []
+    reach: dict[int, int] = {}
+    for e in range(most + 1):
+        new: dict[int, int] = {}
+        for d in range(-e, e + 1):  # words of the document passed minus words of the item
+            x = 0 if e == 0 else max(reach.get(d, -9) + 1, reach.get(d + 1, -9) + 1, reach.get(d - 1, -9))
+            x = min(x, n)
+            if x < 0 or x + d < 0:
+                continue
+            if x + d > m:
+                x = m - d
+                if x < 0:
+                    continue
+            while x < n and x + d < m and item[i + way * x] == doc[j + way * (x + d)]:
+                x += 1
+            new[d] = x
+        reach = new
+        out.append(max(new.values(), default=0))
+    return out
+
+
+SEPARATOR = "\x00"
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _search(items: list[tuple[int, str]], min_words: int, per_edit: int):
+def _words_before(codes: np.ndarray) -> np.ndarray:
+    """The number of spaces before each character."""
+    space = (codes == 32) | (codes == 0)
+    return np.cumsum(space) - space
+
+
+def _slices(column: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, list]]:
+    """Texts in a few at a time, by their length."""
+    begin, texts, n = 0, [], 0
+    for i, t in enumerate(column):
+        t = t.as_py()
+        texts.append(t)
+        n += len(t or "")
+        if n >= chars or len(texts) >= 512:
+            yield begin, texts
+            begin, texts, n = i + 1, [], 0
+    if texts:
+        yield begin, texts
+
+
+def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, texts in _slices(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array([" ".join(plain_words(t)) for t in texts], pa.string())], names=["doc_id", "text"])
+
+
+def _search(index, plain: bool):
+    """``index``: a broadcast ItemIndex; ``plain``: whether the texts are reduced to words already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items, min_words, per_edit)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                docs = [plain_words(t) for t in batch.column(1).to_pylist()]
-                found = index.candidates([" ".join(w) for w in docs])
-                hits = [(d, index.ids[k]) for (d, k), diagonals in found.items() if index.verify(docs[d], k, diagonals)]
+        items = index.value
+        for batch in batches:
+            for lo, texts in _slices(batch.column(1)):
+                docs = [(t or "").split(" ") if plain else plain_words(t) for t in texts]
+                found = items.candidates([" ".join(w) for w in docs])
+                hits = [(lo + d, items.ids[k]) for (d, k), diagonals in found.items() if items.verify(docs[d], k, diagonals)]
                 if hits:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array([d for d, _ in hits])).cast(pa.int64()), pa.array([i for _, i in hits], pa.int64())],
@@ -263,20 +332,23 @@ def _search(items: list[tuple[int, str]], min_words: int, per_edit: int):
 
 
 def leaked_items(
-    documents: DataFrame, items: DataFrame, min_words: int = 20, per_edit: int = 8, block_chars: int = 20_000_000
+    documents: DataFrame, items: DataFrame, min_words: int = 20, per_edit: int = 8, block_chars: int = 2_000_000
 ) -> DataFrame:
     """One row per document and item whose text it holds in part: doc_id, item_id.
 
-    ``block_chars`` bounds the item text that is sent to tasks at once; more items make more passes.
+    ``block_chars`` bounds the item text whose index is sent to the tasks at once; more items make more passes.
     """
     stated = items.where("item_text is not null").select(F.col("item_id").cast("bigint"), F.col("item_text").cast("string"))
     chars = stated.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null")
+    if blocks > 1:
+        texts = stage(texts.mapInArrow(_normalise, "doc_id bigint, text string"), "words")
     out = None
     for b in range(blocks):
         # bounded: a block holds about block_chars characters
         block = [tuple(r) for r in (stated if blocks == 1 else stated.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)).collect()]
-        found = texts.mapInArrow(_search(block, min_words, per_edit), "doc_id bigint, item_id bigint")
+        index = documents.sparkSession.sparkContext.broadcast(ItemIndex(block, min_words, per_edit))
+        found = texts.mapInArrow(_search(index, blocks > 1), "doc_id bigint, item_id bigint")
         out = found if out is None else out.unionByName(found)
     return out.distinct()

@@ -1,6 +1,9 @@
 import random
+import time
 
-from sondage.llm.leakage import ItemIndex, has_passage, leaked_items, plain_words
+import pytest
+
+from sondage.llm.leakage import ItemIndex, furthest, leaked_items, plain_words
 
 RNG = random.Random(3)
 VOCABULARY = ["".join(RNG.choices("abcdefghijklmnopqrstuvwxyz", k=RNG.randint(3, 9))) for _ in range(500)]
@@ -31,39 +34,79 @@ def brute(item, doc, n=20, per=8):
     return False
 
 
+def found(index, doc):
+    return any(index.verify(doc, k, d) for (_, k), d in index.candidates([" ".join(doc)]).items())
+
+
 def test_against_brute_force():
     rng = random.Random(11)
     item = words(40, rng)
     index = ItemIndex([(1, " ".join(item))])
-    for trial in range(40):
-        size = rng.choice([12, 18, 19, 20, 22, 26, 30])
+    for trial in range(120):
+        size = rng.choice([12, 18, 19, 20, 22, 24, 26, 30, 33])
         start = rng.randint(0, len(item) - size)
         part = item[start : start + size]
-        for _ in range(rng.randint(0, 4)):
-            k = rng.randrange(len(part))
+        for _ in range(rng.randint(0, 5)):
+            k = rng.choice([0, len(part) - 1, rng.randrange(len(part))])  # often at the edges
             what = rng.choice("sdi")
             if what == "s":
                 part[k] = "changed"
             elif what == "d":
                 del part[k]
             else:
-                part.insert(k, "extra")
+                part.insert(k, "x" * rng.randint(1, 100))
         doc = words(10, rng) + part + words(10, rng)
-        got = any(index.verify(doc, k, d) for (_, k), d in index.candidates([" ".join(doc)]).items())
-        assert got == brute(item, doc), (trial, part)
+        assert found(index, doc) == brute(item, doc), (trial, part)
+
+
+@pytest.mark.parametrize("letters", [1, 5, 10, 20, 34, 40, 60, 100])
+def test_words_put_in_may_have_any_length(letters):
+    rng = random.Random(letters)
+    item = words(60, rng)
+    index = ItemIndex([(1, " ".join(item))])
+    for _ in range(40):
+        start = rng.randint(0, 40)
+        part = item[start : start + 20]
+        for _ in range(2):
+            part.insert(rng.randint(1, len(part) - 1), "q" * letters)
+        assert found(index, words(30, rng) + part + words(30, rng))
+
+
+@pytest.mark.parametrize("n,edits", [(20, 2), (24, 3), (31, 3), (32, 4), (39, 4)])
+def test_the_longest_words_may_change(n, edits):
+    rng = random.Random(n)
+    item = [w * rng.choice([1, 1, 3]) for w in words(n, rng)]
+    index = ItemIndex([(1, " ".join(item))])
+    for trial in range(20):
+        at = sorted(range(n), key=lambda i: -len(item[i]))[:edits] if trial == 0 else rng.sample(range(n), edits)
+        doc = words(9, rng) + ["zz" if i in at else w for i, w in enumerate(item)] + words(9, rng)
+        assert found(index, doc)
 
 
 def test_bound_is_kept_for_short_words():
     short = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopq"][:40]
-    index = ItemIndex([(1, " ".join(short))])
+    index = ItemIndex([(1, " ".join(short)), (2, " ".join(words(40, random.Random(1))))])
     doc = ["zz"] * 5 + short[5:25] + ["zz"] * 5
-    assert index.candidates([" ".join(doc)]) and index.need.min() >= 1
+    assert found(index, doc) and len(index.tables) == 2 and min(t.need.min() for t in index.tables) >= 1
+
+
+def test_furthest_reach():
+    a, b = "a b c d e f".split(), "a x c d f".split()
+    assert furthest(a, b, 0, 0, 1, 3) == [1, 4, 6, 6]
+    assert furthest(a, b, 5, 4, -1, 3) == [1, 4, 6, 6]
+    assert furthest(a, [], 0, 0, 1, 1) == [0, 1] and furthest([], b, 0, 0, 1, 1) == [0, 0]
+
+
+def test_markup_of_any_length_is_left_out():
+    assert plain_words("a <!-- " + "long comment " * 5000 + "--> b <i class='" + "x " * 900 + "'>c</i> <!-- open") == ["a", "b", "c", "open"]
 
 
-def test_windows():
-    assert has_passage([(1, 0)] * 20, 20, 8) and not has_passage([(1, 0)] * 19, 20, 8)
-    assert has_passage([(1, 0)] * 9 + [(1, 1)] + [(1, 0)] * 10, 20, 8)
-    assert not has_passage(([(1, 0)] * 3 + [(1, 1)]) * 10, 20, 8)
+@pytest.mark.parametrize("text", ["<!--" * 50_000, "<a " * 80_000, "a " * 200_000, "x" * 400_000, "&" * 100_000, "-\n" * 100_000])
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    index = ItemIndex([(1, " ".join(words(40, random.Random(2))))])
+    assert not found(index, plain_words(text))
+    assert time.process_time() - began < 10
 
 
 def test_tables(spark):
