@@ -114,8 +114,8 @@ def feature_table(
     return wide.selectExpr(*out)
 
 
-#: The same table in SQL.
-FEATURE_SQL = """
+#: What a call, a failed result and an instant are, in SQL.
+_SQL = """
 with raw as (select distinct on (uuid) uuid, session_id, trim(ts) as ts, message from session_messages),
 m as (
   select uuid, session_id, message,
@@ -142,12 +142,15 @@ totals as (
   select s.session_id, coalesce(sum(calls), 0)::bigint as total_calls, coalesce(sum(failed), 0)::bigint as total_failed,
     count(tool_name)::bigint as n_tools, ((select max(us) from m) - max(us)) / 1e6::double as since_last_s
   from sessions s left join per_tool p on s.session_id = p.session_id group by s.session_id
-),
-grid as (
-  select s.session_id, c.tool_name, coalesce(calls, 0)::bigint as calls, coalesce(failed, 0)::bigint as failed,
-    ((select max(us) from m) - us) / 1e6::double as since_s
-  from sessions s cross join tool_catalog c left join per_tool p on p.session_id = s.session_id and p.tool_name = c.tool_name
-)
-select * from (
-  pivot grid on tool_name using max(calls) as calls, max(failed) as failed, max(since_s) as since_s group by session_id
-) join totals using (session_id)"""
+)"""
+
+
+def feature_sql(types: Sequence[str]) -> str:
+    """The same table in SQL, for a given list of event types."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    cells = []
+    for t, c in column_names(sorted(types)).items():
+        of = f"filter (tool_name = {quoted(t)})"
+        cells.append(f'coalesce(max(calls) {of}, 0)::bigint as "{c}_calls", coalesce(max(failed) {of}, 0)::bigint as "{c}_failed", ((select max(us) from m) - max(us) {of}) / 1e6::double as "{c}_since_s"')
+    wide = ",\n  ".join(["s.session_id", *cells])
+    return f"{_SQL}, wide as (select {wide}\nfrom sessions s left join per_tool p on s.session_id = p.session_id group by s.session_id)\nselect * from wide join totals using (session_id)"

