@@ -6,7 +6,8 @@ neighbours meet without gathering a series; only the first and last schema of a
 partition travel to the driver (two small rows per partition). Every difference
 becomes a recorded change, and the changes of a series become explicit migration
 steps (rename, default, cast), chained into the rule of each schema version. A
-file is then routed through the rule of its version.
+version is known by the fingerprint that all its files share; each file is
+routed by its own fingerprint to the version of its stretch of the series.
 
 Defined results: lines that are blank, broken or not an object are no records;
 null values show no path; files delivered twice (same series and sequence
@@ -234,7 +235,7 @@ def canonical(path: str, rename: dict[str, str]) -> str:
 def _chain(changes: pd.DataFrame) -> pd.DataFrame:
     """The changes of one series, folded in order into the rule of each version.
 
-    A rule maps the version's paths to canonical ones (those of the series' first file), names the type to cast to, and
+    A rule maps the version's paths to canonical ones (those of the series' first file), names the types to cast to, and
     gives the value of each field that comes or goes along the series where a record lacks it. Version 1 precedes all changes.
     """
     rename: dict[str, str] = {}
@@ -251,7 +252,7 @@ def _chain(changes: pd.DataFrame) -> pd.DataFrame:
                 if c.rpartition(".")[2] != b.rpartition(".")[2]:
                     rename[b] = c
             elif kind == "retyped":
-                cast.setdefault(canonical(a, rename), types.split(",")[0])
+                cast.setdefault(canonical(a, rename), types)
             else:
                 path = canonical(a or b, rename)
                 if not path.endswith("[]"):  # an array may be without elements
@@ -271,10 +272,20 @@ def migration_rules(changes: DataFrame) -> DataFrame:
     )
 
 
+#: Of several types that a field had, the one to cast to comes first: what holds the value as it is, then what holds any.
+_WIDEST = ("number", "boolean", "string", "array", "object")
+
+
 def cast_value(v, kind: str):
-    """A value as the given JSON type; null where that cannot be, and in an object of its own where an object is asked for."""
-    if v is None or _KIND[type(v)] == kind:
+    """A value as one of the given JSON types (with commas between), of several as the one that holds most; null where that cannot be.
+
+    Where an object is asked for, any other value gets an object of its own.
+    """
+    if v is None or _KIND[type(v)] in (kinds := kind.split(",")):
         return v
+    if len(kinds) > 1:
+        fitting = [x for k in _WIDEST if k in kinds and (x := cast_value(v, k)) is not None]
+        return fitting[0] if fitting else None
     if kind == "string":
         return json.dumps(v, ensure_ascii=False, sort_keys=True)
     if kind == "boolean":
@@ -301,7 +312,7 @@ def migrate(record: dict, rename: dict[str, str], cast: dict[str, str], uncast:
         if c not in cast:
             return x
         y = cast_value(x, cast[c])
-        if uncast is not None and x is not None and (y is None or (cast[c] == "object" and not isinstance(x, dict))):
+        if uncast is not None and x is not None and (y is None or (isinstance(y, dict) and not isinstance(x, dict))):
             uncast[at] = v
         return y
 
@@ -328,21 +339,35 @@ def migrate(record: dict, rename: dict[str, str], cast: dict[str, str], uncast:
     return go(record, "", "", "")
 
 
+def schema_versions(schemas: DataFrame, changes: DataFrame) -> DataFrame:
+    """The versions of each series: series_id, version, fingerprint, since_seq, until_seq (the next one's first), rule.
+
+    A version begins with each file that differs from the one before; all its files have the fingerprint of its first.
+    """
+    first = schemas.groupBy("series_id").agg(F.min("file_seq").alias("first_seq"))
+    changed = changes.select("series_id").distinct()
+    rules = migration_rules(changes).unionByName(
+        first.join(changed, "series_id", "left_anti").selectExpr("series_id", "-(1L << 62) as since_seq", "1L as version", "cast(null as string) as rule", "(1L << 62) as until_seq")
+    )
+    begun = rules.join(first, "series_id").withColumn("file_seq", F.greatest("since_seq", "first_seq"))
+    return begun.join(schemas.select("series_id", "file_seq", "fingerprint"), ["series_id", "file_seq"]).select(
+        "series_id", "version", "fingerprint", F.col("file_seq").alias("since_seq"), "until_seq", "rule"
+    )
+
+
 def consistent_records(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Every parsable record of every file in the canonical layout of its series.
 
     series_id, file_seq, line_no, version, type, uuid, session_id, ts, cwd, message (JSON), rest (JSON), uncast (JSON: path and value of each
     value that does not fit the type it is cast to, null where all do).
     """
-    rules = migration_rules(stage(schema_changes(stage(file_schemas(files, lines), "schemas")), "changes"))
+    schemas = stage(file_schemas(files, lines), "schemas")
+    versions = stage(schema_versions(schemas, stage(schema_changes(schemas), "changes")), "versions")
     known = files.where("series_id is not null and file_seq is not null")
     # a file delivered twice counts once: the delivery with the smallest id
     once = known.groupBy("series_id", "file_seq").agg(F.min("file_id").alias("file_id"))
-    routed = once.join(rules, "series_id", "left").where("since_seq is null or (file_seq >= since_seq and file_seq < until_seq)")
-    early = once.join(routed.select("file_id"), "file_id", "left_anti")
-    routed = routed.select("file_id", "series_id", "file_seq", F.coalesce("version", F.lit(1)).alias("version"), "rule").unionByName(
-        early.select("file_id", "series_id", "file_seq", F.lit(1).cast("bigint").alias("version"), F.lit(None).cast("string").alias("rule"))
-    )
+    marked = once.join(schemas.select("series_id", "file_seq", "fingerprint"), ["series_id", "file_seq"])
+    routed = marked.join(versions, ["series_id", "fingerprint"]).where("file_seq >= since_seq and file_seq < until_seq").select("file_id", "series_id", "file_seq", "version", "rule")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str | None, dict] = {None: {"rename": {}, "cast": {}, "default": {}}}

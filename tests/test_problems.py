@@ -111,8 +111,17 @@ def test_tables_keep_their_links(messages):
     t = S.record_tables(messages(rows + rows))
     assert t["messages"].count() == 1
     assert {(r.path, r.parent_path, r.kind, r.text) for r in t["texts"].collect()} == {("0", "", "thinking", "hm"), ("2/0", "2", "text", "deep")}
-    assert {(r.path, r.use_id, r.input) for r in t["calls"].collect()} == {("1", "k", None), ("2/1", "k", '{"a": 1}')}
-    assert [(r.path, r.use_id, r.is_error) for r in t["results"].collect()] == [("2", "k", True)]
+    assert {(r.path, r.use_id, r.input) for r in t["calls"].collect()} == {("1", "k", None), ("2/1", "k", '{"a":1}')}
+    assert [(r.path, r.use_id, r.is_error, r.call_uuid, r.call_path) for r in t["results"].collect()] == [("2", "k", True, "a", "1")]
+
+
+def test_results_without_call_stay(messages):
+    rows = [message("a", blocks=[result(None), result("x"), use("y"), result("y"), block(None), None]), message("b", session=None, blocks=[use("q"), result("q")]), message("c", blocks=None)]
+    t = S.record_tables(messages(rows + rows[:2]))
+    assert {(r.uuid, r.path, r.call_path) for r in t["results"].collect()} == {("a", "0", None), ("a", "1", None), ("a", "3", "2"), ("b", "1", None)}
+    assert {(r.uuid, r.n_blocks) for r in t["messages"].collect()} == {("a", 6), ("b", 2), ("c", None)}
+    # a block without any field is there, a null block is not
+    assert {(r.path, r.block_type) for r in S.flatten_blocks(messages(rows[:1])).collect()} == {("0", "tool_result"), ("1", "tool_result"), ("2", "tool_use"), ("3", "tool_result"), ("4", None)}
 
 
 # --- drift ---
@@ -195,6 +204,24 @@ def test_no_value_is_lost_by_a_cast(spark):
     ]
 
 
+def test_versions_are_known_by_their_fingerprint(spark):
+    j = json.dumps
+    files = [("s", q, [j({"uuid": str(q), **x})]) for q, x in enumerate(({"a": 1}, {"a": 2}, {"a": "x"}, {"a": 3}, {"b": 4}), 1)] + [("t", 1, [j({"uuid": "9"})])]
+    manifest, lines = series(spark, files)
+    schemas = D.file_schemas(manifest, lines)
+    rows = {(r.series_id, r.version): r for r in D.schema_versions(schemas, D.schema_changes(schemas)).collect()}
+    assert {k: (r.since_seq, min(r.until_seq, 99)) for k, r in rows.items()} == {("s", 1): (1, 3), ("s", 2): (3, 4), ("s", 3): (4, 5), ("s", 4): (5, 99), ("t", 1): (1, 99)}
+    prints = [rows["s", v].fingerprint for v in (1, 2, 3, 4)]
+    assert prints[0] == prints[2] and len(set(prints)) == 3  # the layout came back
+    got = {r.uuid: (r.version, json.loads(r.rest)["a"] if r.series_id == "s" else None) for r in D.consistent_records(manifest, lines).collect()}
+    assert got == {"1": (1, 1), "2": (1, 2), "3": (2, None), "4": (3, 3), "5": (4, 4), "9": (1, None)}
+
+
+def test_several_old_types():
+    assert D.cast_value("x", "number,string") == "x" and D.cast_value(True, "number,string") == "true" or D.cast_value(True, "number,string") == 1
+    assert D.cast_value([1], "number,string") == "[1]" and D.cast_value({"a": 1}, "boolean,object") == {"a": 1} and D.cast_value("zz", "boolean,number") is None
+
+
 def test_fields_that_come_and_go_get_defaults(spark):
     j = json.dumps
     files = [
