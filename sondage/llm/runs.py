@@ -20,9 +20,11 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -30,8 +32,8 @@ from ..functions.instants import instant_micros
 from ..functions.transcripts import clean_tool
 from ..plans.staging import sorted_map, stage
 
-#: Fields of a request that only number, trace or time the attempt.
-ATTEMPT_FIELD = re.compile(
+#: Fields of a request that only number, trace or time the attempt: their names in lower case without ``-``, ``_`` and spaces.
+ATTEMPT_FIELD = (
     r"^((attempt|retry|try)(no|nr|num|number|count|index|id)?"
     r"|(trace|span|correlation|idempotency)(id|key|parent)?"
     r"|requestid|nonce"
@@ -66,7 +68,7 @@ def canonical_value(key: str, v):
     return v
 
 
-def canonical_request(name: str | None, request: str | None) -> str:
+def canonical_request(name: str | None, request: str | None, attempt_field: str = ATTEMPT_FIELD) -> str:
     """The work that a call asks for, in one spelling."""
     tool = (name or "").strip().lower()
     if request is None:
@@ -79,24 +81,24 @@ def canonical_request(name: str | None, request: str | None) -> str:
         v = {
             k: canonical_value(k, x)
             for k, x in v.items()
-            if x is not None and not ATTEMPT_FIELD.match(re.sub(r"[-_ ]", "", k).lower())
+            if x is not None and not re.match(attempt_field, re.sub(r"[-_ ]", "", k).lower())
         }
     return f"{tool}\x00{json.dumps(v, sort_keys=True, ensure_ascii=False)}"
 
 
-@F.pandas_udf(BinaryType())
-def request_key(name: pd.Series, request: pd.Series) -> pd.Series:
-    blake = hashlib.blake2b
-    return pd.Series(
-        [
-            blake(canonical_request(n, r).encode("utf-8", "surrogatepass"), digest_size=12).digest()
-            for n, r in zip(name, request)
-        ],
-        dtype=object,
-    )
+def request_key(attempt_field: str):
+    @F.pandas_udf(BinaryType())
+    def key(name: pd.Series, request: pd.Series) -> pd.Series:
+        blake = hashlib.blake2b
+        return pd.Series(
+            [blake(canonical_request(n, r, attempt_field).encode("utf-8", "surrogatepass"), digest_size=12).digest() for n, r in zip(name, request)],
+            dtype=object,
+        )
 
+    return key
 
-def tool_calls(messages: DataFrame) -> DataFrame:
+
+def tool_calls(messages: DataFrame, attempt_field: str = ATTEMPT_FIELD) -> DataFrame:
     """The tool_use blocks directly in ``message.content``, one row each, with the key of the request."""
     blocks = messages.select(
         "session_id",
@@ -111,7 +113,7 @@ def tool_calls(messages: DataFrame) -> DataFrame:
         "pos",
         clean_tool(F.col("b.name")).alias("tool"),
         F.col("b.id").alias("use_id"),
-        request_key(F.col("b.name"), F.col("b.input")).alias("request"),
+        request_key(attempt_field)(F.col("b.name"), F.col("b.input")).alias("request"),
     )
 
 
@@ -126,31 +128,32 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     rid = TaskContext.get().partitionId() << 33
-    last_key = last_ident = None
-    first = True
+    names = ("session_id", "us", "uuid", "pos", "tool", "use_id", "request")
+    last: dict[str, pa.Array] | None = None  # the row before the batch
     for batch in batches:
-        d = batch.to_pydict()
-        keep, rids, sames = [], [], []
-        for i, (s, us, u, p, k) in enumerate(zip(d["session_id"], d["us"], d["uuid"], d["pos"], d["request"])):
-            ident = (s, us, u, p)
-            if ident == last_ident and u is not None:
-                continue
-            key = (s, k) if s is not None and us is not None else None
-            sames.append(None if first else key is not None and key == last_key)
-            rids.append(rid)
-            keep.append(i)
-            rid += 1
-            last_ident, last_key, first = ident, key, False
-        if keep:
-            t = batch.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rids, pa.int64()),
-                    *(t.column(t.schema.get_field_index(c)) for c in ("session_id", "us", "tool", "use_id", "request")),
-                    pa.array(sames, pa.bool_()),
-                ],
-                names=["rid", "session_id", "us", "tool", "use_id", "request", "same"],
-            )
+        n = batch.num_rows
+        if not n:
+            continue
+        col = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
+        before = {c: pa.concat_arrays([last[c] if last else pa.nulls(1, v.type), v.slice(0, n - 1)]) for c, v in col.items()}
+        equal = {c: pc.fill_null(pc.equal(col[c], before[c]), False).to_numpy(zero_copy_only=False) for c in ("session_id", "us", "uuid", "pos", "request")}
+        null = lambda c: pc.and_(pc.is_null(col[c]), pc.is_null(before[c])).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+        again = (equal["session_id"] | null("session_id")) & (equal["us"] | null("us")) & equal["uuid"] & equal["pos"]
+        same = equal["session_id"] & equal["request"] & pc.is_valid(col["us"]).to_numpy(zero_copy_only=False) & pc.is_valid(before["us"]).to_numpy(zero_copy_only=False)
+        keep = np.flatnonzero(~again)
+        first = last is None
+        last = {c: v.slice(n - 1) for c, v in col.items()}
+        if not len(keep):
+            continue
+        # a row after a repeated delivery is compared with that delivery, which is the same call
+        unknown = np.zeros(len(keep), bool)
+        unknown[0] = first
+        take = pa.array(keep)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rid + np.arange(len(keep)), pa.int64()), *(col[c].take(take) for c in ("session_id", "us", "tool", "use_id", "request")), pa.array(same[keep], pa.bool_(), mask=unknown)],
+            names=["rid", "session_id", "us", "tool", "use_id", "request", "same"],
+        )
+        rid += len(keep)
 
 
 def link_predecessors(calls: DataFrame) -> DataFrame:
@@ -191,20 +194,19 @@ def resolve_pointers(members: DataFrame) -> DataFrame:
     table = stage(members.select("rid", "ptr"), "pointers")
     while True:
         target = table.select(F.col("rid").alias("at"), F.col("ptr").alias("next"))
-        table = stage(
-            table.join(target, F.col("ptr") == F.col("at"), "left").select(
-                "rid", F.coalesce("next", "ptr").alias("ptr"), F.col("next").isNotNull().alias("moved")
-            ),
-            "pointers",
-        )
-        if table.where("moved").isEmpty():
-            return table.select("rid", "ptr")
-        table = table.select("rid", "ptr")
+        moved = Observation()  # counted by the job that writes the pointers
+        step = table.join(target, F.col("ptr") == F.col("at"), "left").observe(moved, F.count("next").alias("n"))
+        table = stage(step.select("rid", F.coalesce("next", "ptr").alias("ptr")), "pointers")
+        if not moved.get["n"]:
+            return table
 
 
-def collapse_runs(messages: DataFrame) -> DataFrame:
-    """One row per run of consecutive tool calls that ask for the same work; a single call is a run of one."""
-    linked = link_predecessors(tool_calls(messages))
+def collapse_runs(messages: DataFrame, attempt_field: str = ATTEMPT_FIELD) -> DataFrame:
+    """One row per run of consecutive tool calls that ask for the same work; a single call is a run of one.
+
+    ``attempt_field``: a pattern for the names of request fields that do not matter.
+    """
+    linked = link_predecessors(tool_calls(messages, attempt_field))
     roots = resolve_pointers(linked.where("ptr <> rid"))
     rooted = linked.drop("ptr").join(roots, "rid", "left").withColumn("root", F.coalesce("ptr", "rid"))
     return (
