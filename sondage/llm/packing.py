@@ -8,7 +8,10 @@ values, whatever the number of texts. In each round a successor sweep gives ever
 largest down, the tightest gaps that hold it (a container takes one text a
 round); conflicts are resolved by rank; gaps are updated; the rounds repeat, and
 where nothing fits, as many new containers open as the remaining tokens need at
-least. The outcome, a short table of ranges, then places each text by its rank.
+least. No class is larger for more texts, so one task per capacity sweeps them;
+the texts stay where they were sorted. The outcome, a table of ranges of ranks,
+is joined to the ranked texts by size, partition and block of ranks: nothing of
+it passes through the driver.
 
 Defined results: a text over the capacity is divided into full pieces and a
 remainder; no other text is divided; texts without tokens (null, empty) go to
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import sorted_map, stage
@@ -34,8 +37,8 @@ from ..plans.staging import sorted_map, stage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE of this vocabulary cuts text before merging (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of the placement table that are sent to tasks at most.
-MOST_RANGES = 5_000_000
+#: Ranks in a block, by which texts meet their ranges.
+BLOCK = 4096
 
 _ENCODERS: dict[str, object] = {}
 
@@ -147,41 +150,32 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(t), part, np.int32)), pa.array(k.astype(np.int64))], names=_NAMES)
 
 
-def _plan(target: pd.DataFrame) -> pd.DataFrame:
-    """From the counts of one target by size and partition: where each partition's ranks begin, and the placement ranges."""
-    target = target.sort_values(["size", "part"], kind="stable")
-    begins = target.groupby("size")["n"].cumsum() - target["n"]
-    by_size = target.groupby("size")["n"].sum()
-    ranges, used = plan_rounds(by_size.index.to_numpy(), by_size.to_numpy(), int(target["capacity"].iloc[0]))
-    t = int(target["target_id"].iloc[0])
-    a = pd.DataFrame({"target_id": t, "what": "begin", "size": target["size"], "a": target["part"].astype("int64"), "b": begins, "c": 0})
-    b = pd.DataFrame(ranges, columns=["size", "a", "n", "b"]).assign(target_id=t, what="range").rename(columns={"n": "c"})
-    e = pd.DataFrame({"target_id": [t], "what": ["used"], "size": [0], "a": [used], "b": [0], "c": [0]})
-    return pd.concat([x[["target_id", "what", "size", "a", "b", "c"]] for x in (a, b, e)])
-
-
-def _place(table):
-    begins, ranges = table
+_RANGES = "target_id bigint, size bigint, a bigint, n bigint, container bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = lambda c: b.column(b.schema.get_field_index(c)).to_numpy()  # noqa: E731, B023
-            target, size, part, k = col("target_id"), col("size"), col("part"), col("k")
-            container = np.empty(len(target), np.int64)
-            change = np.ones(len(target), bool)
-            change[1:] = (target[1:] != target[:-1]) | (size[1:] != size[:-1]) | (part[1:] != part[:-1])
-            edges = [*np.flatnonzero(change).tolist(), len(target)]
-            for lo, hi in zip(edges, edges[1:]):
-                r = k[lo:hi] + begins[(int(target[lo]), int(size[lo]), int(part[lo]))]
-                first, where = ranges[(int(target[lo]), int(size[lo]))]
-                i = np.searchsorted(first, r, "right") - 1
-                container[lo:hi] = where[i] + r - first[i]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.get_field_index(c)) for c in ("target_id", "capacity")), pa.array(container), *(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "piece_no", "start_token", "size"))],
-                names=["target_id", "capacity", "container_id", "doc_id", "piece_no", "start_token", "n_tokens"],
-            )
 
-    return run
+def _plan(target: pd.DataFrame) -> pd.DataFrame:
+    """The placement ranges of one target from its counts by size: as many rows as the capacity has sizes, at most."""
+    target = target.sort_values("size", kind="stable")
+    ranges, _ = plan_rounds(target["size"].to_numpy(), target["n"].to_numpy(), int(target["capacity"].iloc[0]))
+    return pd.DataFrame(ranges, columns=["size", "a", "n", "container"]).assign(target_id=int(target["target_id"].iloc[0]))[["target_id", "size", "a", "n", "container"]]
+
+
+def place(ranked: DataFrame, counts: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each ranked piece with its container. ``counts``: target_id, size, part, n; ``ranges``: what ``_plan`` gives."""
+    # a partition's ranks within a size begin after those of the partitions before it
+    before = Window.partitionBy("target_id", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint"))).withColumnRenamed("n", "many")
+    end = F.col("begin") + F.col("many")
+    lo, hi = F.greatest("a", "begin"), F.least(F.col("a") + F.col("n"), end)
+    pieces = groups.join(ranges, ["target_id", "size"]).where((F.col("a") < end) & (F.col("a") + F.col("n") > F.col("begin"))).select(
+        "target_id", "size", "part", (lo - F.col("begin")).alias("lo"), (hi - F.col("begin")).alias("hi"), (F.col("container") + lo - F.col("a")).alias("first")
+    )
+    block = lambda c: F.floor(c / BLOCK).cast("bigint")
+    blocks = pieces.withColumn("block", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))))
+    key = ["target_id", "size", "part", "block"]
+    return ranked.withColumn("block", block(F.col("k"))).join(blocks, key).where("k >= lo and k < hi").select(
+        "target_id", "capacity", (F.col("first") + F.col("k") - F.col("lo")).alias("container_id"), "doc_id", "piece_no", "start_token", F.col("size").alias("n_tokens")
+    )
 
 
 _PLACED = "target_id bigint, capacity bigint, container_id bigint, doc_id bigint, piece_no bigint, start_token bigint, n_tokens bigint"
@@ -209,21 +203,11 @@ def pack(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -
     start = F.col("piece_no") * F.col("capacity")
     items = pieces.select("target_id", "capacity", F.least(F.col("capacity"), F.col("n_tokens") - start).alias("size"), "doc_id", "piece_no", start.alias("start_token"))
     ranked = stage(sorted_map(items, ["target_id", "size", "doc_id", "piece_no"], _rank, _RANKED), "ranked")
-    counts = ranked.groupBy("target_id", "capacity", "size", "part").agg(F.count("*").alias("n"))
-    # one group per capacity, of at most as many rows as the capacity has sizes, and two more for each partition
-    planned = counts.groupBy("target_id").applyInPandas(_plan, "target_id bigint, what string, size bigint, a bigint, b bigint, c bigint").toPandas()
-    if len(planned) > MOST_RANGES:
-        raise ValueError("placement table over its bound")
-    begins = {(int(t), int(s), int(a)): int(b) for t, s, a, b in planned[planned.what == "begin"][["target_id", "size", "a", "b"]].itertuples(index=False)}
-    ranges = {}
-    for (t, s), g in planned[planned.what == "range"].sort_values("a").groupby(["target_id", "size"]):
-        ranges[(int(t), int(s))] = (g["a"].to_numpy(np.int64), g["b"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast((begins, ranges))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _place(shared.value)(batches)
-
-    placed = ranked.mapInArrow(place, _PLACED)
+    counts = stage(ranked.groupBy("target_id", "capacity", "size", "part").agg(F.count("*").alias("n")), "counts")
+    # one group per capacity, of at most as many rows as the capacity has sizes
+    by_size = counts.groupBy("target_id", "capacity", "size").agg(F.sum("n").alias("n"))
+    ranges = stage(by_size.groupBy("target_id").applyInPandas(_plan, _RANGES), "ranges")
+    placed = place(ranked, counts.drop("capacity"), ranges)
     nothing = sized.where("n_tokens = 0").selectExpr(
         "target_id", "capacity", "0L as container_id", "doc_id", "0L as piece_no", "0L as start_token", "0L as n_tokens"
     )
