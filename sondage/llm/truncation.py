@@ -29,15 +29,20 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import stage
 
-#: Signs that something was left out; an ellipsis alone may be the author's.
+#: Signs that something was left out, at the end of a line; an ellipsis alone may be the author's.
 MARK = re.compile(
-    r"(?:\s*(?:[\[(<{]\s*(?:\.\.\.|…)?\s*(?:truncated|cut off|cut|snip(?:ped)?|continued|more|gekürzt|tronqué|truncado|output omitted|message clipped|clipped)\b[^\])>}\n]{0,60}[\])>}]"
-    r"|-+\s?(?:more|truncated)\s?-+|\[\s?(?:\.\.\.|…)\s?\]|\(\s?(?:\.\.\.|…)\s?\)))+\s*$",
+    r"[\[(<{]\s*(?:\.\.\.|…)?\s*(?:truncated|cut off|cut|snip(?:ped)?|continued|more|gekürzt|tronqué|truncado|output omitted|message clipped|clipped)\b[^\])>}]*[\])>}]$"
+    r"|\[\s?(?:\.\.\.|…)\s?\]$|\(\s?(?:\.\.\.|…)\s?\)$",
     re.I,
 )
-ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…)$")
+RULED_MARK = re.compile(r"-\s?(?:more|truncated)\s?-+$", re.I)
 AND_SO_ON = re.compile(r"(?:\b(?:so on|so forth|etc|and more|usw|und so weiter|u\. ?s\. ?w|et cetera|ainsi de suite|y así sucesivamente|etcétera)\.?)$", re.I)
-TERMINAL = re.compile(r"[.!?。！？][\"'”’»)\]*_`]*$|[:;]-?[)(DP]$|[♥✅👍🎉]$")
+_CLOSERS = "\"'”’»)]*_`"
+_SMILE = re.compile(r"[:;]-?[)(DP]$|[♥✅👍🎉]$")
+_POINTED = re.compile(r"(?:\b(?:e\.g|i\.e|z\.B|p\. ?ej|cf|vs)\.|/\w+\.|\s\d+\.)$")
+_ENTITY = re.compile(r"&(?:#x?[0-9a-fA-F]{0,6}|[A-Za-z]{1,7})$")
+_TAG = re.compile(r"</?(?:[A-Za-z][^<>]*)?$")
+_ESCAPE = re.compile(r"\\u?[0-9a-fA-F]{0,3}$")
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
 _PATH = re.compile(r"^\(?[\w.@~-]*(?:/[\w.@~-]*)+$")
 _EXT = re.compile(r"\.(\w{1,5})$")
@@ -94,9 +99,34 @@ def line_form(line: str) -> str:
     return "prose"
 
 
+def last_words(text: str, n: int) -> str:
+    return " ".join(text.rsplit(None, n)[-n:])
+
+
 def last_phrase(text: str | None) -> str:
     """The last three words, by which closing lines are known again."""
-    return " ".join((text or "").rstrip()[-200:].lower().split()[-3:])
+    return last_words(text or "", 3).lower()
+
+
+def _unfinished(line: str) -> bool:
+    """Whether a line ends within an entity, a tag or an escape."""
+    if line[-1] == "\ufffd":
+        return True
+    return any((i := line.rfind(c)) >= 0 and form.match(line, i) is not None for c, form in (("&", _ENTITY), ("<", _TAG), ("\\", _ESCAPE)))
+
+
+def _marked(line: str) -> bool:
+    """Whether a line ends with a sign that something was left out."""
+    if line[-1] in "])>}":
+        at = max(line.rfind(c) for c in "[(<{")
+        return at >= 0 and MARK.match(line, at) is not None
+    return line[-1] == "-" and RULED_MARK.search(line) is not None
+
+
+def terminal(t: str) -> bool:
+    """Whether a text ends with the punctuation of a sentence, closed or not."""
+    core = t.rstrip(_CLOSERS)
+    return core[-1:] in tuple(".!?。！？") or _SMILE.search(t[-3:]) is not None
 
 
 def read_end(text: str | None) -> tuple[str, str, str]:
@@ -104,20 +134,20 @@ def read_end(text: str | None) -> tuple[str, str, str]:
 
     The verdict is ``none`` (nothing there), ``done``, ``cut``, or ``open`` where the last word must decide.
     """
-    t = (text or "").rstrip().rstrip("​﻿\x00").rstrip()
+    t = (text or "").rstrip().rstrip("\u200b\ufeff\x00").rstrip()
     if not t:
         return "none", "", ""
-    if t[-1] == "�" or re.search(r"&(?:#x?[0-9a-fA-F]{0,6}|[A-Za-z]{1,7})$|</?[A-Za-z][^<>\n]{0,200}$|</?$|\\u?[0-9a-fA-F]{0,3}$", t[-220:]):
+    line = t[t.rfind("\n") + 1 :]
+    if _unfinished(line):
         return "cut", "structure", ""
-    if m := MARK.search(t[-200:]):
+    if _marked(line):
         return "cut", "mark", ""
-    tail = t[-300:]
-    dots = ELLIPSIS.search(tail)
+    dots = t.endswith("...") or t[-1] == "…"
     if dots:
-        t = t[: len(t) - len(tail) + dots.start()].rstrip()
-        if not t or AND_SO_ON.search(t[-60:]):
+        t = (t[:-1] if t[-1] == "…" else t.rstrip(".")).rstrip()
+        if not t or AND_SO_ON.search(last_words(t, 4)):
             return "done", "", ""
-    line = t[t.rfind("\n") + 1 :]
+        line = t[t.rfind("\n") + 1 :]
     fences = len(_FENCE.findall(t))
     if fences % 2:
         return "cut", "code", ""
@@ -125,18 +155,19 @@ def read_end(text: str | None) -> tuple[str, str, str]:
         return ("cut" if dots else "done"), "code", ""
     form = line_form(line)
     if form == "row":
-        above = [x.strip() for x in t.split("\n")[-2:-1] if x.strip().startswith("|")]
+        above = [x.strip() for x in t.rsplit("\n", 2)[-2:-1] if x.strip().startswith("|")]
         whole = line.rstrip().endswith("|") and (not above or above[0].count("|") <= line.count("|"))
         return ("done" if whole and not dots else "cut"), form, ""
     if line.count("`") % 2:
         return "cut", "code", ""
-    token = token_class(line.split()[-1])
-    if (m := _TRAILER.match(line)) and t[: len(t) - len(line)].endswith("\n\n"):
+    token = token_class(line.rsplit(None, 1)[-1])
+    alone = t[: len(t) - len(line)].endswith("\n\n")
+    if alone and (m := _TRAILER.match(line)):
         form, token = "trailer", f"{m.group(1).lower()}: {token}"
-    if form == "prose" and len(line.split()) <= 8 and t[: len(t) - len(line)].endswith("\n\n"):
+    if form == "prose" and alone and len(line.split()) <= 8:
         form = "closing"
-    if TERMINAL.search(t[-60:]):
-        return ("open" if re.search(r"(?:\b(?:e\.g|i\.e|z\.B|p\. ?ej|cf|vs)\.|/\w+\.|\s\d+\.)$", t[-300:]) else "done"), form, token
+    if terminal(t):
+        return ("open" if _POINTED.search(" " + last_words(t, 2)) else "done"), form, token
     if dots:
         return "cut", form, token
     return "open", form, token
@@ -145,33 +176,56 @@ def read_end(text: str | None) -> tuple[str, str, str]:
 _OFTEN = 3  # other texts that close alike, from which on an end is a usual one if more than twice as many texts close with it as break off at it
 _RARE = 20  # occurrences in different texts, below which a word proves nothing
 _BLANK = " \t\n\r\f\v\x00\u00a0\u200b\ufeff"  # what copies may differ in at their end
-_OUT = "what string, text_id string, verdict string, form string, token string, phrase string, n_all bigint, n_end bigint"
-_NAMES = [c.split()[0] for c in _OUT.split(", ")]
-_KINDS = [pa.int64() if c.endswith("bigint") else pa.string() for c in _OUT.split(", ")]
+_DOCS = "doc_id bigint, source string, n_chars bigint, n_bytes bigint, text_id string, verdict string, form string, token string, phrase string"
+_WORDS = "token string, n_all bigint, n_end bigint"
 
 
-def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text with how it ends, and per batch the counts of words anywhere and at line ends (last lines apart)."""
+def _read_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How each text ends, beside its sizes."""
     for batch in batches:
-        every: Counter = Counter()
-        ends: Counter = Counter()
         rows = []
-        for i, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
+        for text in batch.column(batch.num_columns - 1).to_pylist():
             verdict, form, token = read_end(text)
-            rows.append(("text", i, verdict, form, token, last_phrase(text) if form in ("closing", "prose") else None, None, None))
-            if verdict != "none":
-                lines = text.rstrip().split("\n")
-                every.update(" ".join(lines[:-1]).split())
-                every.update(lines[-1].split()[:-1])
-                ends.update([x[-1] for line in lines[:-1] if (x := line.split()[-1:])])
-        classes: dict[str, list[int]] = {}
+            rows.append((verdict, form, token, last_phrase(text) if verdict == "open" and form in ("closing", "prose") else None))
+        if rows:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.string()) for c in zip(*rows))], names=[c.split()[0] for c in _DOCS.split(", ")])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of words anywhere and at line ends (last lines apart), summed over a task's texts as far as they fit."""
+    classes: dict[str, list[int]] = {}
+
+    def give():
+        out = pa.RecordBatch.from_arrays([pa.array(list(classes), pa.string()), *(pa.array([v[i] for v in classes.values()], pa.int64()) for i in (0, 1))], names=["token", "n_all", "n_end"])
+        classes.clear()
+        return out
+
+    for batch in batches:
+        every: Counter = Counter()
+        ends: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            lines = text.rstrip().split("\n")
+            every.update(" ".join(lines[:-1]).split())
+            every.update(lines[-1].split()[:-1])
+            ends.update([x[-1] for line in lines[:-1] if (x := line.rsplit(None, 1)[-1:])])
         for t, n in every.items():
             c = classes.setdefault(token_class(t), [0, 0])
             c[0] += n
             c[1] += ends.get(t, 0)
-        rows += [("token", None, None, None, t, None, a, e) for t, (a, e) in classes.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
+        if len(classes) > 200_000:
+            yield give()
+    if classes:
+        yield give()
+
+
+_SALTS = 16
+
+
+def _beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join on a key of which a few values may hold most rows: the rows of a value are spread, the counts repeated for each share."""
+    spread = left.withColumn("share", F.pmod(F.xxhash64("text_id", "doc_id"), F.lit(_SALTS)).cast("int"))
+    repeated = right.withColumn("share", F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])))
+    return spread.join(repeated, [key, "share"], "left").drop("share")
 
 
 def length_spikes(lengths: DataFrame, column: str, least: int = 5, times: float = 8.0, reach: float = 0.04, share: float = 0.003) -> DataFrame:
@@ -197,29 +251,35 @@ def length_spikes(lengths: DataFrame, column: str, least: int = 5, times: float
 
 
 def examine(documents: DataFrame, kept_words: int = 12) -> DataFrame:
-    """Every text with ``is_cut`` and why: doc_id, source, n_chars, n_bytes, at_limit, reason, is_cut."""
+    """Every text with ``is_cut`` and why: doc_id, source, n_chars, n_bytes, at_limit, reason, is_cut.
+
+    The reason is ``length spike`` for a text at a spike length without terminal punctuation whose end is no usual one, else what its end shows.
+    """
     text = F.col("text").cast("string")
-    texts = documents.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.col("source").cast("string"), F.md5(F.rtrim(text, F.lit(_BLANK))).alias("text_id"))
-    # copies meet before they are read: each map task sends one of them, so a text under many ids is no hot key
-    different = texts.where("text is not null").groupBy("text_id").agg(F.any_value("text").alias("text"))
-    seen = stage(different.mapInArrow(_observe, _OUT), "ends")
-    ends = seen.where("what = 'text'").select(*_NAMES[1:6])
-    sizes = texts.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "text_id")
-    docs = stage(sizes.join(ends, "text_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("none"))), "judged")
+    texts = documents.select(
+        F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("n_chars"),
+        F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), F.md5(F.rtrim(text, F.lit(_BLANK))).alias("text_id"), text.alias("text"),
+    )
+    docs = stage(texts.mapInArrow(_read_ends, _DOCS), "ends")
+    # copies meet before their words are counted: each map task sends one of them, so a text under many ids is no hot key
+    different = texts.where("text is not null").groupBy("text_id").agg(F.any_value("text").alias("text")).select("text")
+    tokens = different.mapInArrow(_count_words, _WORDS).groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n_end").alias("n_end"))
+    open_docs = docs.where("verdict = 'open'")
+    ends = open_docs.groupBy("text_id").agg(*(F.any_value(c).alias(c) for c in ("form", "token", "phrase")))
     # lines that stand alone at the end: closing words, trailers, links
     alone = F.col("form").isin("closing", "trailer", "short")
-    open_ends = ends.where("verdict = 'open'").groupBy("token").agg(F.count_if(alone).alias("n_last"), F.count_if(~alone).alias("n_broken"))
-    tokens = seen.where("what = 'token'").groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n_end").alias("n_end"))
-    stats = open_ends.join(tokens, "token", "left")
-    phrases = ends.where("verdict = 'open' and phrase is not null").groupBy("phrase").agg(F.count_if(alone).alias("n_phrase"), F.count_if(~alone).alias("n_broken_phrase"))
+    open_ends = ends.groupBy("token").agg(F.count_if(alone).alias("n_last"), F.count_if(~alone).alias("n_broken"))
+    stats = stage(open_ends.join(tokens, "token", "left"), "word_ends")
+    phrases = ends.where("phrase is not null").groupBy("phrase").agg(F.count_if(alone).alias("n_phrase"), F.count_if(~alone).alias("n_broken_phrase"))
     spikes_c = length_spikes(docs, "n_chars")
     spikes_b = length_spikes(docs.where("n_bytes <> n_chars"), "n_bytes")
     # words kept whole end up to kept_words characters below the limit
     limits = spikes_c.select("source", F.explode(F.sequence(F.col("at_limit") - kept_words, F.col("at_limit"))).alias("n_chars")).distinct().withColumn("limit_c", F.lit(True))
     limits_b = spikes_b.select("source", F.explode(F.sequence(F.col("at_limit") - 3, F.col("at_limit"))).alias("n_bytes")).distinct().withColumn("limit_b", F.lit(True))
+    # only texts whose last word must decide look it up; one without a phrase looks for none
+    told_ends = _beside(_beside(open_docs, stats, "token").withColumn("phrase", F.coalesce("phrase", F.concat(F.lit("\0"), "text_id"))), phrases, "phrase")
     judged = (
-        docs.join(stats, "token", "left")
-        .join(phrases, "phrase", "left")
+        told_ends.unionByName(docs.where("verdict <> 'open'"), allowMissingColumns=True)
         .join(limits, ["source", "n_chars"], "left")
         .join(limits_b, ["source", "n_bytes"], "left")
         .withColumn("at_limit", F.coalesce("limit_c", "limit_b", F.lit(False)))
@@ -236,12 +296,15 @@ def examine(documents: DataFrame, kept_words: int = 12) -> DataFrame:
     share, closing_share = (n_end + usual) / seen_at_all, usual / seen_at_all
     # a word seen, but too seldom to tell, proves nothing
     told = ~(n_all.between(1, _RARE - 1) & ~F.col("token").startswith("<"))
-    reason = (
+    end = (
         F.when(F.col("verdict") == "cut", F.concat(F.lit("unfinished "), "form"))
         .when((F.col("verdict") == "open") & F.col("form").isin("prose", "closing") & ((F.col("form") == "prose") | ((closing_share < 0.5) & ~usual_phrase)), "within a sentence")
         .when((F.col("verdict") == "open") & (F.col("form") != "closing") & told & (share < F.when(F.col("at_limit"), 0.05).otherwise(0.02)), "within a line")
     )
-    return judged.select("doc_id", "source", "n_chars", "n_bytes", "at_limit", reason.alias("reason"), reason.isNotNull().alias("is_cut"), "form", "token", "verdict", share.alias("ends_share"))
+    return judged.withColumns({"end": end, "ends_share": share}).select(
+        "doc_id", "source", "n_chars", "n_bytes", "at_limit", F.when(F.col("end").isNotNull() & F.col("at_limit"), "length spike").otherwise(F.col("end")).alias("reason"),
+        F.col("end").isNotNull().alias("is_cut"), "end", "form", "token", "verdict", "ends_share",
+    )
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:
