@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import scan
+
+#: Columns of a presence matrix at most.
+MOST_COLUMNS = 2000
+
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Left rows with what the right side knows; the optimiser picks the strategy by size."""
@@ -26,22 +31,27 @@ def tightest_interval(points: DataFrame, at: Column, intervals: DataFrame, key:
     """
     points = points.withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") / width))
     cut = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    hit = points.join(cut, "_bucket").where("_at between lo and hi")
-    best = hit.groupBy(key).agg(F.min_by("name", F.struct(F.col("hi") - F.col("lo"), "name")).alias("name"))
-    return points.drop("_bucket", "_at").join(best, key, "left")
+    hit = points.join(cut, (points["_bucket"] == cut["_bucket"]) & F.col("_at").between(F.col("lo"), F.col("hi")), "left")
+    rest = [c for c in points.columns if c not in (key, "_bucket", "_at")]
+    # the points travel with the match itself: no second join
+    return hit.groupBy(key).agg(*(F.any_value(points[c]).alias(c) for c in rest), F.min_by("name", F.struct(F.col("hi") - F.col("lo"), "name")).alias("name"))
 
 
 def as_of(df: DataFrame, by: list[str], order: list[str], value: str, where: Column, name: str) -> DataFrame:
     """Each row with the latest earlier ``value`` among the rows that meet ``where``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.last(F.when(where, F.col(value)), ignorenulls=True).over(w))
+    seen = scan(df, by, order, lasts={"_seen": F.when(where, F.col(value))})
+    return scan(seen, by, order, prevs={name: F.col("_seen")}).drop("_seen")
 
 
 def presence_matrix(facts: DataFrame, row: str, column: str) -> DataFrame:
     """Which of all columns each row lacks: one line per row with present and missing names."""
-    names = facts.select(column).distinct().agg(F.sort_array(F.collect_set(column)).alias("all_names"))  # the column set is the matrix's header
+    # the column set is the matrix's header: read on the driver only so far as a header goes
+    header = [r[0] for r in facts.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(header) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} columns for a matrix")
+    names = F.array(*[F.lit(x) for x in sorted(header)]) if header else F.array().cast("array<string>")
     have = facts.groupBy(row).agg(F.sort_array(F.collect_set(column)).alias("present"))
-    return have.join(F.broadcast(names)).select(row, "present", F.array_except("all_names", "present").alias("missing"))
+    return have.select(row, "present", F.array_except(names, "present").alias("missing"))
 
 
 def consistency(facts: DataFrame, site: str, part: str, least_share: float = 0.25) -> DataFrame:

@@ -1,35 +1,36 @@
-"""Ordered rows: running sums, islands, changes, pairs, fill-forward, top rows of a group."""
+"""Ordered rows: running sums, islands, changes, pairs, fill-forward, top rows of a group.
+
+Groups may hold any share of the rows: all but the top rows come from scans over range-sorted partitions (``ordered``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import scan
+
 
 def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(value).over(w))
+    """Running sums of whole numbers."""
+    return scan(df, by, order, sums={name: value})
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Runs of equal consecutive values: group, value, island number, length."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    new = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.row_number().over(w).eqNullSafe(F.lit(1))).cast("int")
-    numbered = df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w))
-    return numbered.groupBy(*by, "island", value).agg(F.count("*").alias("run_length"))
+    lagged = scan(df, by, order, number="_n", prevs={"_before": F.col(value)})
+    new = (~F.col(value).eqNullSafe(F.col("_before"))) | (F.col("_n") == 0)
+    return scan(lagged, by, order, sums={"island": new.cast("bigint")}).groupBy(*by, "island", value).agg(F.count("*").alias("run_length"))
 
 
 def changes(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """The rows at which a value differs from the one before; the first row of a group counts if it has a value."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = F.lag(value).over(w)
-    return df.withColumn("previous", before).where(~F.col(value).eqNullSafe(F.col("previous")))
+    return scan(df, by, order, prevs={"previous": F.col(value)}).where(~F.col(value).eqNullSafe(F.col("previous")))
 
 
 def pair_exchanges(df: DataFrame, by: list[str], order: list[str], is_prompt: Column, is_reply: Column, text: str) -> DataFrame:
     """Each prompt with the last reply before the next prompt."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    turn = df.withColumn("_prompt", is_prompt).withColumn("_reply", is_reply).withColumn("exchange", F.sum(F.col("_prompt").cast("int")).over(w))
+    turn = scan(df.withColumn("_prompt", is_prompt).withColumn("_reply", is_reply), by, order, sums={"exchange": F.coalesce(F.col("_prompt"), F.lit(False)).cast("bigint")})
     pos = F.struct(*order)
     return turn.where("exchange > 0").groupBy(*by, "exchange").agg(
         F.max(F.when(F.col("_prompt"), F.col(text))).alias("prompt"),
@@ -38,14 +39,15 @@ def pair_exchanges(df: DataFrame, by: list[str], order: list[str], is_prompt: Co
 
 
 def fill_forward(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return scan(df, by, order, lasts={name: F.col(value)})
 
 
 def within_previous(df: DataFrame, by: list[str], order: list[str], test: Column, rows: int, name: str) -> DataFrame:
     """Whether one of the given number of rows before meets the test."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-rows, -1)
-    return df.withColumn(name, F.coalesce(F.max(test.cast("int")).over(w) == 1, F.lit(False)))
+    counted = scan(df.withColumn("_hit", F.coalesce(test, F.lit(False))), by, order, number="_n")
+    seen = scan(counted, by, order, lasts={"_at": F.when(F.col("_hit"), F.col("_n"))})
+    earlier = scan(seen, by, order, prevs={"_last": F.col("_at")})
+    return earlier.withColumn(name, F.coalesce(F.col("_n") - F.col("_last") <= rows, F.lit(False))).drop("_hit", "_n", "_at", "_last")
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -55,5 +57,4 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) ->
 
 def numbered_range(df: DataFrame, by: list[str], order: list[str], first: int, last: int) -> DataFrame:
     """Rows first to last of each group, counting from 1."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("row_no", F.row_number().over(w)).where(F.col("row_no").between(first, last))
+    return scan(df, by, order, number="row_no").withColumn("row_no", F.col("row_no") + 1).where(F.col("row_no").between(first, last))

@@ -857,9 +857,9 @@ def q_outliers(spark, d):
 @q("""with e as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 1 day then 0 else 1 end as s from events)
 select user_id, visit::bigint as visit, count(*) as n, min(ts) as began, max(ts) as ended from (select *, sum(s) over (partition by user_id order by ts, event_id rows unbounded preceding) as visit from e) group by user_id, visit""")
 def q_visits(spark, d):
-    from pyspark.sql import Window
+    from ..operators.ordered import scan
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w))
-    e = t(spark, d, "events").withColumn("s", F.when(gap <= 86_400_000_000, 0).otherwise(1))
+    lagged = scan(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], prevs={"before": F.col("ts")})
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
+    e = lagged.withColumn("s", F.when(gap <= 86_400_000_000, 0).otherwise(1))
     return sequences.running_sum(e, ["user_id"], ["ts", "event_id"], F.col("s"), "visit").groupBy("user_id", "visit").agg(F.count("*").alias("n"), F.min("ts").alias("began"), F.max("ts").alias("ended"))
