@@ -62,6 +62,7 @@ class Rule:
     per_line: bool = True
     category: str = field(default="")
     targets: str | None = None  # pattern of file names
+    high: Callable[[Column], Column] | None = None  # where the finding is of high severity
 
 
 @dataclass
@@ -88,10 +89,11 @@ def run_rules(df: DataFrame, key: str, text: str, rules: list[Rule], path: str |
     """key, line, rule_code, severity, message, context of every finding; one pass over the lines for all line rules."""
     out: list[DataFrame] = []
     applies = lambda r: F.coalesce(F.col(path).rlike(r.targets), F.lit(False)) if r.targets and path else F.lit(True)
-    finding = lambda r: F.struct(F.lit(r.code).alias("rule_code"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"))
+    severity = lambda r, c: F.when(F.coalesce(r.high(c), F.lit(False)), "high").otherwise(r.severity) if r.high else F.lit(r.severity)
+    finding = lambda r, c: F.struct(F.lit(r.code).alias("rule_code"), severity(r, c).alias("severity"), F.lit(r.message).alias("message"))
 
     def hits(c: Column, chosen: list[Rule]) -> Column:
-        return F.filter(F.array(*[F.when(applies(r) & F.coalesce(r.test(c), F.lit(False)), finding(r)) for r in chosen]), lambda x: x.isNotNull())
+        return F.filter(F.array(*[F.when(applies(r) & F.coalesce(r.test(c), F.lit(False)), finding(r, c)) for r in chosen]), lambda x: x.isNotNull())
 
     keep = [key] + ([path] if path else [])
     if line_rules := [r for r in rules if r.per_line]:

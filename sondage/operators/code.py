@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import bare_name, base_tail
 from . import graphs
 
-LIMITS = {"complexity": 10, "lines": 100, "depth": 4, "args": 5}
+LIMITS = {"complexity": 10, "lines": 75, "many_lines": 100, "depth": 4, "args": 5, "property": 15, "literals": 5}
 IMPLICIT = r"^(__\w+__|main|test_.*|setUp|tearDown|setUpClass|tearDownClass|visit_\w+|do_[A-Z]+)$"
 
 
@@ -115,7 +115,7 @@ def file_stats(elements: DataFrame, files: DataFrame) -> DataFrame:
     lines = files.select(F.col("path").alias("file"), F.size(F.split("text", "\n")).alias("lines"))
     fn = elements.where("category in ('functions', 'methods')").groupBy("file").agg(
         F.count("*").alias("functions"), F.avg("complexity").alias("avg_complexity"), F.max("complexity").alias("max_complexity"), F.avg("line_count").alias("avg_length"),
-        F.count_if(F.col("line_count") > LIMITS["lines"]).alias("long_functions"), F.count_if(F.col("depth") > LIMITS["depth"]).alias("deep_functions"),
+        F.count_if(F.col("line_count") > LIMITS["many_lines"]).alias("long_functions"), F.count_if(F.col("depth") > LIMITS["depth"]).alias("deep_functions"),
     )
     classes = elements.where("category = 'classes'").groupBy("file").agg(F.count("*").alias("classes"))
     both = lines.join(fn, "file", "left").join(classes, "file", "left").na.fill(0)
@@ -135,12 +135,13 @@ def element_findings(elements: DataFrame, imports: DataFrame, symbols: DataFrame
     same = imports.groupBy("file", "module", "names", "alias", "level").agg(F.min("line").alias("first"), F.max("line").alias("line"), F.count("*").alias("n")).where("n > 1")
     parts = [
         row(f.where(F.col("complexity") > LIMITS["complexity"]), "C901", "medium", F.concat(name, F.lit(" is too complex: "), F.col("complexity").cast("string"))),
-        row(f.where(F.col("line_count") > LIMITS["lines"]), "C902", "medium", F.concat(name, F.lit(" is too long: "), F.col("line_count").cast("string"))),
+        row(f.where(F.col("line_count") > LIMITS["many_lines"]), "C902", "high", F.concat(name, F.lit(" is far too long: "), F.col("line_count").cast("string"))),
+        row(f.where(F.col("line_count").between(LIMITS["lines"] + 1, LIMITS["many_lines"])), "C902", "medium", F.concat(name, F.lit(" is too long: "), F.col("line_count").cast("string"))),
         row(f.where(F.col("depth") > LIMITS["depth"]), "C905", "medium", F.concat(name, F.lit(" is nested too deep: "), F.col("depth").cast("string"))),
         row(f.where(F.col("n_args") > LIMITS["args"]), "R913", "medium", F.concat(name, F.lit(" takes too many arguments: "), F.col("n_args").cast("string"))),
         row(f.where(static), "B002", "high", F.concat(name, F.lit(" is static but takes self"))),
-        row(f.where(prop & (F.col("line_count") > 8)), "B003", "medium", F.concat(name, F.lit(" is a property with too much in it"))),
-        row(f.where(~F.col("typed") & ~name.startswith("_")), "T005", "low", F.concat(name, F.lit(" has incomplete annotations"))),
+        row(f.where(prop & (F.col("line_count") > LIMITS["property"])), "B003", "medium", F.concat(name, F.lit(" is a property with too much in it"))),
+        row(f.where(~F.col("typed") & F.col("signature").rlike(r":|->")), "T005", "low", F.concat(name, F.lit(" has incomplete annotations"))),
         row(f.where(F.col("signature").rlike(r"\w+: (?!Optional|.*\bNone\b[^=,]*=)[\w\[\]., ]+? = None\b")), "T004", "medium", F.concat(name, F.lit(" has a None default without an optional type"))),
         row(dup, "D001", "medium", F.concat(name, F.lit(" repeats "), F.col("first"))),
         row(unused_imports(imports, symbols), "I001", "medium", F.concat(F.lit("unused import "), F.col("bound"))),
@@ -153,6 +154,89 @@ def element_findings(elements: DataFrame, imports: DataFrame, symbols: DataFrame
     return out
 
 
+def fact_findings(facts: DataFrame) -> DataFrame:
+    """Findings on handlers, properties and literals: file, line, rule_code, severity, message."""
+    row = lambda df, code, severity, message: df.select("file", "line", F.lit(code).alias("rule_code"), F.lit(severity).alias("severity"), message.alias("message"))
+    handlers = facts.where("kind = 'HANDLER'")
+    return (
+        row(handlers.where("name = 'broad' and detail = 'silent'"), "B006", "medium", F.lit("broad exception handler that shows nothing of the failure"))
+        .unionByName(row(facts.where("kind = 'NO_VALUE'"), "B004", "high", F.concat("name", F.lit(" is a property without a value"))))
+        .unionByName(row(facts.where((F.col("kind") == "LITERALS") & (F.col("n") >= LIMITS["literals"])), "M104", "low", F.concat("name", F.lit(" is a literal list of "), F.col("n").cast("string"))))
+    )
+
+
+def module_findings(files: DataFrame, imports: DataFrame, elements: DataFrame, facts: DataFrame, installed: list[str] | None = None, project_version: str | None = None) -> DataFrame:
+    """Findings on modules: unresolvable imports (B005), cycles (I002), shadowed standard modules (I004), orphans (M102), versions that differ (M103).
+
+    ``installed``: names of packages that can be imported besides the standard library; None leaves B005 out.
+    """
+    import sys
+
+    std = sorted(sys.stdlib_module_names)
+    row = lambda df, code, severity, message: df.select("file", F.coalesce("line", F.lit(1)).cast("int").alias("line"), F.lit(code).alias("rule_code"), F.lit(severity).alias("severity"), message.alias("message"))
+    names = files.select(F.col("path").alias("file")).distinct()
+    here = names.withColumn("line", F.lit(1))
+    resolved = module_files(imports, names)
+    stem = F.regexp_extract("file", r"([^/]+)\.pyi?$", 1)
+    test = F.col("file").rlike(r"(^|/)tests?/|(^|/)(test_[^/]*|[^/]*_test|conftest)\.py$")
+    edges = resolved.where("target is not null").select(F.col("file").alias("src"), F.col("target").alias("dst")).distinct()
+    cyclic = graphs.strong_components(edges)
+    cycle = cyclic.join(cyclic.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1"), "component").select(F.col("node").alias("file"), F.lit(1).alias("line"), "_n")
+    imported = edges.select(F.col("dst").alias("file")).distinct()
+    entry = F.col("file").rlike(r"(^|/)(__init__|__main__|main|app|cli|manage|setup|conf|wsgi|asgi)\.py$") | test
+    has = elements.select("file").distinct()
+    parts = [
+        row(here.where(stem.isin(std) & ~test & (F.size(F.split("file", "/")) <= 2)), "I004", "medium", F.concat(stem, F.lit(" hides a module of the standard library"))),
+        row(cycle, "I002", "high", F.concat(F.lit("part of a cycle of "), F.col("_n").cast("string"), F.lit(" files"))),
+        row(here.where(~entry).join(imported, "file", "left_anti").join(has, "file", "left_semi"), "M102", "medium", F.lit("no file imports this one")),
+    ]
+    if installed is not None:
+        top = F.split("module", r"\.")[0]
+        lost = resolved.where((F.col("level") == 0) & F.col("target").isNull() & ~F.col("type_checking") & ~top.isin(sorted({*std, *installed})))
+        parts.append(row(lost, "B005", "high", F.concat(F.lit("cannot be resolved: "), F.col("module"))))
+    if project_version is not None:
+        parts.append(row(facts.where((F.col("kind") == "VERSION") & (F.col("detail") != project_version)), "M103", "high", F.concat(F.lit("version "), F.col("detail"), F.lit(f" is not {project_version}"))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+#: Handles that say nothing about a design when tests patch them (fixed values).
+NOISE = ("sys.stdout", "sys.stderr", "sys.stdin", "builtins.print", "builtins.input")
+
+
+def patch_uses(facts: DataFrame) -> DataFrame:
+    """What tests patch: file, test, line, kind, target, symbol, private."""
+    symbol = F.element_at(F.split("detail", r"\."), -1)
+    return facts.where("kind = 'PATCH'").select(
+        "file", F.col("function").alias("test"), "line", F.col("name").alias("kind"), F.col("detail").alias("target"), symbol.alias("symbol"),
+        (symbol.startswith("_") & ~symbol.rlike(r"^__\w+__$")).alias("private"),
+    )
+
+
+def patch_groups(uses: DataFrame, by: str = "target", least: int = 1, target: str = "", private: bool = False, suppress: bool = True) -> DataFrame:
+    """Patches grouped by target, test or file with their pressure: group, n, tests, n_private, most, score.
+
+    ``target``: a part of the target, or a glob.
+    """
+    from .scoring import pressure
+
+    u = uses
+    if suppress:
+        u = u.where(~F.col("target").isin(*NOISE))
+    if private:
+        u = u.where("private")
+    if target:
+        glob = any(c in target for c in "*?[")
+        pattern = "^" + "".join(".*" if c == "*" else "." if c == "?" else "\\Q" + c + "\\E" for c in target) + "$"
+        u = u.where(F.col("target").rlike(pattern) if glob else F.contains(F.lower("target"), F.lit(target.lower())))
+    key = {"target": F.col("target"), "test": F.concat_ws("::", "file", "test"), "file": F.col("file")}[by]
+    per = u.groupBy(key.alias("group"), "file", "test").agg(F.count("*").alias("k"), F.count_if("private").alias("p"))
+    g = per.groupBy("group").agg(F.sum("k").alias("n"), F.count("*").alias("tests"), F.sum("p").alias("n_private"), F.max("k").alias("most")).where(F.col("n") >= least)
+    return g.withColumn("score", pressure(F.col("n"), F.col("n_private"), F.col("most")))
+
+
 # --- inside functions: over the table of events ---
 
 

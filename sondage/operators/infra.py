@@ -17,7 +17,12 @@ def server_blocks(structure: DataFrame) -> DataFrame:
     w = Window.partitionBy("path").orderBy("line", F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, 0)
     opens = (F.col("category") == "block") & (F.col("name") == "server")
     numbered = rows.withColumn("server", F.sum(opens.cast("int")).over(w)).withColumn("base", F.last(F.when(opens, F.col("level")), ignorenulls=True).over(w))
-    return numbered.where("server > 0 and level > base").select("path", "server", "category", "name", "detail", "line")
+    inside = numbered.where("server > 0 and level > base")
+    # the location a directive stands in, if any
+    w2 = Window.partitionBy("path", "server").orderBy("line", F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, 0)
+    at = (F.col("category") == "block") & (F.col("name") == "location")
+    placed = inside.withColumn("_loc", F.last(F.when(at, F.struct(F.col("detail").alias("detail"), F.col("level").alias("level"))), ignorenulls=True).over(w2))
+    return placed.select("path", "server", "category", "name", "detail", "line", F.when(F.col("level") > F.col("_loc.level"), F.col("_loc.detail")).alias("location"))
 
 
 def virtual_hosts(structure: DataFrame) -> DataFrame:
@@ -55,7 +60,80 @@ def server_findings(structure: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.unionByName(range_findings(structure))
+
+
+#: Safe ranges of times in seconds (fixed values).
+TIMES = {
+    "send_timeout": (10, 300), "proxy_read_timeout": (10, 300), "proxy_send_timeout": (10, 300), "proxy_connect_timeout": (2, 75),
+    "keepalive_timeout": (5, 120), "client_body_timeout": (5, 120), "client_header_timeout": (5, 120),
+}
+#: Largest sizes in megabytes (fixed values).
+SIZES = {"client_body_buffer_size": 64, "client_max_body_size": 2048, "proxy_buffer_size": 32}
+#: A body from this size in megabytes on needs timeouts of this many seconds (fixed values).
+LARGE_BODY, SAFE_TIMEOUT = 10, 60
+
+
+def seconds(c):
+    n, unit = F.regexp_extract(c, r"^\s*(\d+(?:\.\d+)?)(?:ms|s|m|h)?\s*$", 1), F.regexp_extract(F.lower(c), r"(ms|s|m|h)\s*$", 1)
+    return F.nullif(n, F.lit("")).cast("double") * F.when(unit == "ms", 0.001).when(unit == "m", 60.0).when(unit == "h", 3600.0).otherwise(1.0)
+
+
+def megabytes(c):
+    n, unit = F.regexp_extract(F.lower(c), r"^\s*(\d+(?:\.\d+)?)\s*[kmg]?\s*$", 1), F.regexp_extract(F.lower(c), r"([kmg])\s*$", 1)
+    return F.nullif(n, F.lit("")).cast("double") * F.when(unit == "k", 1 / 1024).when(unit == "m", 1.0).when(unit == "g", 1024.0).otherwise(1 / 1048576)
+
+
+def range_findings(structure: DataFrame) -> DataFrame:
+    """Directives outside their safe range (N005), timeouts too short for the bodies allowed (N006), challenge roots that differ (N004)."""
+    rows = structure.where("format = 'nginx' and category = 'directive'")
+    first = F.split("detail", r"\s+")[0]
+    low = F.create_map(*[x for k, (a, _) in TIMES.items() for x in (F.lit(k), F.lit(float(a)))])
+    high = F.create_map(*[x for k, (_, b) in TIMES.items() for x in (F.lit(k), F.lit(float(b)))])
+    most = F.create_map(*[x for k, b in SIZES.items() for x in (F.lit(k), F.lit(float(b)))])
+    t, m = seconds(first), megabytes(first)
+    outside = rows.where(((t < low[F.col("name")]) | (t > high[F.col("name")])) | (m > most[F.col("name")]))
+    unlimited = F.col("detail").rlike(r"^0[mg]?$")
+    body = rows.where((F.col("name") == "client_max_body_size") & ~unlimited).groupBy("path").agg(F.min_by(m, "line").alias("mb")).where(F.col("mb") > LARGE_BODY)
+    short = rows.where(F.col("name").isin("send_timeout", "proxy_read_timeout", "proxy_send_timeout")).groupBy("path", "name").agg(F.min_by(t, "line").alias("s"), F.min("line").alias("line")).where(F.col("s") < SAFE_TIMEOUT)
+    roots = server_blocks(structure).where(F.col("location").contains("acme-challenge") & (F.col("name") == "root")).select("path", F.regexp_replace("detail", "['\"]", "").alias("root"), "line")
+    counted = roots.groupBy("path", "root").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    usual = counted.groupBy("path").agg(F.max_by("root", F.struct("n", -F.col("line"))).alias("usual"))
+    odd = counted.join(usual, "path").where("root <> usual")
+    row = lambda df, code, severity, text: df.select("path", "line", F.lit(code).alias("rule_code"), F.lit(severity).alias("severity"), text.alias("message"))
+    return (
+        row(outside, "N005", "medium", F.concat("name", F.lit(" "), "detail", F.lit(" is outside its safe range")))
+        .unionByName(row(short.join(body, "path"), "N006", "high", F.concat("name", F.lit(" is too short for large bodies"))))
+        .unionByName(row(odd, "N004", "high", F.concat(F.lit("challenge root differs: "), "root")))
+    )
+
+
+def stapling_findings(structure: DataFrame, certificates: DataFrame) -> DataFrame:
+    """Servers that staple although their certificate names no responder (N007). ``certificates``: path, responder."""
+    b = server_blocks(structure)
+    pick = lambda n: F.max(F.when(F.col("name") == n, F.col("detail")))
+    on = b.groupBy("path", "server").agg(pick("ssl_stapling").alias("stapling"), pick("ssl_certificate").alias("certificate"), F.min(F.when(F.col("name") == "ssl_stapling", F.col("line"))).alias("line")).where("lower(stapling) = 'on'")
+    none = certificates.where("responder is null or responder = ''").select(F.col("path").alias("certificate"))
+    return on.join(none, "certificate", "left_semi").select("path", "line", F.lit("N007").alias("rule_code"), F.lit("low").alias("severity"), F.concat(F.lit("no responder in "), "certificate").alias("message"))
+
+
+def locations(structure: DataFrame) -> DataFrame:
+    """Location blocks with where they lead: path, server, location, target."""
+    b = server_blocks(structure).where("location is not null")
+    pick = lambda *n: F.max(F.when(F.col("name").isin(*n), F.col("detail")))
+    return b.groupBy("path", "server", "location").agg(F.coalesce(pick("proxy_pass", "fastcgi_pass", "uwsgi_pass", "grpc_pass"), pick("return"), pick("alias"), pick("root")).alias("target"), F.min("line").alias("line"))
+
+
+def access_control(structure: DataFrame) -> DataFrame:
+    return server_blocks(structure).where("name in ('auth_basic', 'auth_request', 'auth_basic_user_file', 'allow', 'deny')").select("path", "server", "location", "name", "detail", "line")
+
+
+def ports(structure: DataFrame) -> DataFrame:
+    """Listening ports of servers with whether they are secure or only redirect."""
+    b = server_blocks(structure)
+    sent = b.groupBy("path", "server").agg(F.max(F.coalesce((F.col("name") == "return") & F.col("location").isNull() & F.col("detail").rlike(r"^30[1278]"), F.lit(False))).alias("redirects"))
+    at = b.where("name = 'listen' and location is null").select("path", "server", F.regexp_extract("detail", r"(?:^|:)(\d+)(?:\s|$)", 1).cast("int").alias("port"), F.col("detail").rlike(r"\bssl\b|(^|:)443\b").alias("secure"), "line")
+    return at.join(sent, ["path", "server"])
 
 
 def fleet_includes(structure: DataFrame) -> DataFrame:

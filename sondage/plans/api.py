@@ -13,7 +13,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import checks, code, frontmatter, graphs, history, infra, profile, scoring, search
+from ..operators import checks, code, documents, frontmatter, graphs, history, infra, profile, scoring, search
 from ..operators.rules import BUILTIN
 from ..sources import files as file_source
 from ..sources import formats, python_code, stores
@@ -106,7 +106,10 @@ def check(spark: SparkSession, path: str, select: str | None = None, ignore: str
     cols = ["file", "line", "rule_code", "severity", "message"]
     line_rules = checks.run_rules(texts.withColumnRenamed("path", "file"), "file", "text", BUILTIN.chosen(select, ignore, severity), "file") if BUILTIN.chosen(select, ignore, severity) else None
     py = texts.where(F.col("path").rlike(r"\.pyi?$"))
-    more = code.element_findings(python_code.element_table(py), python_code.import_table(py), python_code.symbol_table(py)).unionByName(
+    elements, imports, facts = python_code.element_table(py), python_code.import_table(py), python_code.fact_table(py)
+    more = code.element_findings(elements, imports, python_code.symbol_table(py)).unionByName(code.fact_findings(facts)).unionByName(
+        code.module_findings(py, imports, elements, facts, stores.importable(), stores.project_version(texts))
+    ).unionByName(documents.findings(texts)).unionByName(
         infra.server_findings(formats.structure(texts.where(F.col("path").rlike(r"\.(conf|nginx|vhost)$")))).withColumnRenamed("path", "file")
     )
     alike = python_code.similar_table(py)
@@ -128,6 +131,10 @@ def describe() -> list[dict]:
     return [{"scheme": s.name, "about": s.about, "params": list(s.params)} for s in sorted(SCHEMES.values(), key=lambda s: s.name)]
 
 
+def _on(params: dict[str, str], name: str) -> bool:
+    return params.get(name, "false").lower() not in ("false", "0", "no")
+
+
 # --- schemes -----------------------------------------------------------------------------------------------------
 
 
@@ -240,11 +247,13 @@ def _trace(spark, call):
     return code.effects_through_calls(python_code.event_table(texts), python_code.element_table(texts), int(call.params.get("depth", 3)))
 
 
-@scheme("patches", "what tests patch, by target", "min", tiebreak="target")
+@scheme("patches", "what tests patch, grouped by target, test or file, with its pressure", "group min target private suppress", tiebreak="group")
 def _patches(spark, call):
-    e = python_code.event_table(_py(spark, call)).where(r"kind = 'CALL' and text rlike '(^|\\.)(patch|patch\\.object|setattr)$'")
-    per = e.groupBy(F.col("file").alias("target"), "function").agg(F.count("*").alias("k")).groupBy("target").agg(F.sum("k").alias("n"), F.count("*").alias("tests"), F.max("k").alias("most"))
-    return per.where(F.col("n") >= int(call.params.get("min", 1))).withColumn("score", scoring.pressure(F.col("n"), F.lit(0), F.col("most")))
+    p = call.params
+    uses = code.patch_uses(python_code.fact_table(_py(spark, call)))
+    if p.get("group") == "none":
+        return uses
+    return code.patch_groups(uses, p.get("group", "target"), int(p.get("min", 1)), p.get("target", ""), _on(p, "private"), p.get("suppress", "true") != "false")
 
 
 @scheme("testability", "functions by what makes them hard to test", tiebreak="file function")

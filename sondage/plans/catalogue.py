@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, differences, graphs, joining, profile, scoring, search, sequences, similarity
+from ..operators import checks, differences, documents, graphs, joining, profile, scoring, search, sequences, similarity
 from ..operators.rules import BUILTIN
 from . import control, qlang
 
@@ -744,11 +744,12 @@ def q_status_user_rollup(spark, d):
 
 _RULE_LINES = "(select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)"
 _RULES = f"""select doc_id, line::int as line, rule_code, severity from (
-select doc_id, line, 'E501' as rule_code, 'low' as severity from {_RULE_LINES} where length(l) > 100 and not regexp_matches(l, 'https?://\\S{{60,}}')
-union all select doc_id, line, 'M501', 'low' from {_RULE_LINES} where regexp_matches(l, '\\b(TODO|FIXME|XXX)\\b')
-union all select doc_id, line, 'W291', 'low' from {_RULE_LINES} where regexp_matches(l, '[ \\t]+$')
-union all select doc_id, 1, 'M101', 'medium' from documents where length(text) > 20000
-union all select doc_id, 1, 'W000', 'low' from documents where trim(text, ' ') = '')"""
+select doc_id, line, 'E501' as rule_code, 'low' as severity from {_RULE_LINES} where length(rtrim(l, ' ')) > 100 and not regexp_matches(l, 'http://|https://|ftp://|# noqa|# type:')
+union all select doc_id, line, 'M501', 'low' from {_RULE_LINES} where regexp_matches(l, '\\b(TODO|FIXME|HACK|XXX)\\b')
+union all select doc_id, line, 'U501', 'low' from {_RULE_LINES} where regexp_matches(l, '(?i)http://(www\\.)?github\\.com/[^\\s''"<>]+|http://[a-z0-9-]+\\.github\\.(com|io)/[^\\s''"<>]+')
+union all select doc_id, line, 'X108', 'low' from {_RULE_LINES} where regexp_matches(l, '[ \\t]+$')
+union all select doc_id, 1, 'M101', case when n > 1000 then 'high' else 'medium' end from (select doc_id, len(string_split(text, chr(10))) as n from documents where text is not null) where n > 500
+union all select doc_id, 1, 'X110', 'low' from documents where trim(text, ' ') = '')"""
 
 
 def _findings(spark, d, **chosen):
@@ -757,17 +758,17 @@ def _findings(spark, d, **chosen):
 
 @q(_RULES)
 def q_rules_union(spark, d):
-    return _findings(spark, d, select="E501,M501,W291,M101,W000").select("doc_id", "line", "rule_code", "severity")
+    return _findings(spark, d, select="E501,M501,U501,X108,M101,X110").select("doc_id", "line", "rule_code", "severity")
 
 
 @q(f"select severity, count(*) as n from ({_RULES}) group by severity")
 def q_severity_counts(spark, d):
-    return _findings(spark, d, select="E501,M501,W291,M101,W000").groupBy("severity").agg(F.count("*").alias("n"))
+    return _findings(spark, d, select="E501,M501,U501,X108,M101,X110").groupBy("severity").agg(F.count("*").alias("n"))
 
 
 @q(f"select doc_id, line, rule_code, severity from ({_RULES}) where severity <> 'low'")
 def q_severity_min(spark, d):
-    return _findings(spark, d, select="E501,M501,W291,M101,W000", least="medium").select("doc_id", "line", "rule_code", "severity")
+    return _findings(spark, d, select="E501,M501,U501,X108,M101,X110", least="medium").select("doc_id", "line", "rule_code", "severity")
 
 
 @q()
@@ -776,11 +777,51 @@ def q_rules_all(spark, d):
     return _findings(spark, d)
 
 
-@q("""select doc_id, i::int as line from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_matches(l, '(?i)(api[_-]?key|secret|token|passwd|password)\\s*[:=]\\s*[''"][^''"]{8,}[''"]')""")
+@q("""select doc_id, i::int as line from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where regexp_matches(l, '(?i)(api[_-]?key|secret|token|passwd|password)\\s*[:=]\\s*[''"][^''"]{8,}[''"]')
+and not regexp_matches(regexp_extract(l, '(?i)(api[_-]?key|secret|token|passwd|password)\\s*[:=]\\s*[''"][^''"]{8,}[''"]'), '(?i)[''"](?:[^''"]*(?:test|example|placeholder|dummy|fake|sample|none|null|todo|fixme|changeme|replace[_-]me|insert[_-]here|not[-_]?set|development|undefined)[^''"]*|[a-z_]+|[a-z][a-z0-9+.-]*://[^''"]*)[''"]')""")
 def q_secret_scan(spark, d):
     return _findings(spark, d, select="S001").select("doc_id", "line")
 
 
+_PATH = "coalesce(file_path, 'notes/' || doc_id || '.md')"
+_LINKS = rf"""(select doc_id, path, i as line, unnest(regexp_extract_all(l, '\[[^\]]+\]\(([^)]+)\)', 1)) as target
+from (select doc_id, {_PATH} as path, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents))"""
+
+
+def _files(spark, d):
+    """Documents as files; those without a path as notes."""
+    return t(spark, d, "documents").select("doc_id", F.coalesce("file_path", F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), "text")
+
+
+@q(f"select path, line::int as line, target, count(*) as n from {_LINKS} group by all")
+def q_link_targets(spark, d):
+    return documents.links(_files(spark, d)).groupBy("path", "line", "target").agg(F.count("*").alias("n"))
+
+
+@q(r"""select path, n::int as references, count(*) as copies from (select file_path as path, len(list_filter(regexp_extract_all(coalesce(text, ''), '\[[^\]]+\]\(([^)]+)\)', 1), lambda x: contains(x, '.md') and not starts_with(x, 'http') and regexp_extract(x, '([^/]*)$', 1) <> regexp_extract(file_path, '([^/]*)$', 1))) as n
+from documents where regexp_matches(file_path, '(^|/)docs/') and regexp_matches(file_path, '\.(md|markdown)$') and regexp_extract(file_path, '([^/]*)$', 1) not in ('README.md', 'INDEX.md', 'CHANGELOG.md', 'LICENSE.md')) where n < 2 group by all""")
+def q_few_references(spark, d):
+    return documents.few_references(_files(spark, d)).groupBy("path", "references").agg(F.count("*").alias("copies"))
+
+
+@q(r"""with p as (select distinct file_path as path, regexp_extract(file_path, '^((?:.*?/)?docs)/', 1) as folder from documents where regexp_matches(file_path, '(^|/)docs/')),
+r as (select path, folder, substring(path, length(folder) + 2) as rest from p)
+select folder, min(path) filter (ends_with(rest, '.md')) as path from r where not contains(rest, '/') group by folder having not bool_or(rest in ('README.md', 'INDEX.md')) and count(*) filter (ends_with(rest, '.md')) > 0""")
+def q_missing_indexes(spark, d):
+    return documents.missing_indexes(_files(spark, d))
+
+
+@q(rf"""with l as (select distinct path, line, target, regexp_replace(string_split(trim(target), ' ')[1], '[#?].*$', '') as bare from {_LINKS} where regexp_matches(path, '\.(md|markdown)$') and not regexp_matches(target, '^([a-zA-Z][a-zA-Z0-9+.-]*:|//|#|\s*$)')),
+j as (select *, list_filter(string_split(case when starts_with(bare, '/') then bare else regexp_extract(path, '^(.*?)/?[^/]*$', 1) || '/' || bare end, '/'), lambda x: x not in ('', '.')) as parts from l where bare <> ''),
+known as (select distinct {_PATH} as p from documents)
+select path, line::int as line, target from j where not list_contains(parts, '..') and array_to_string(parts, '/') not in (select p from known)
+and not exists (select 1 from known where starts_with(p, array_to_string(parts, '/') || '/'))""")
+def q_broken_links(spark, d):
+    """Links without ``..``, which the SQL leaves out; those are tested on a fixture."""
+    broken = documents.broken_links(_files(spark, d)).where(~F.contains(F.concat(F.lit("/"), F.regexp_replace(F.split("target", " ")[0], r"[#?].*$", ""), F.lit("/")), F.lit("/../")))
+    return broken.select("path", "line", "target").distinct()
+
+
 # --- scalar functions --------------------------------------------------------------------------------------------
 
 

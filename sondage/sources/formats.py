@@ -165,7 +165,7 @@ def toml(text: str) -> Iterator[Row]:
         if m := re.match(r"\s*\[{1,2}([^\]]+)\]{1,2}", x):
             yield "table", m.group(1).strip(), i, m.group(1).count(".") + 1, None
         elif m := re.match(r"\s*([\w.\"-]+)\s*=\s*(.*)$", x):
-            yield "key", m.group(1).strip('"'), i, None, m.group(2)[:100]
+            yield "key", m.group(1).strip('"'), i, None, m.group(2)
 
 
 @reader("ini", "ini", "cfg", "conf_ini", "properties", "service", "timer", "socket")
@@ -209,7 +209,7 @@ def table(text: str) -> Iterator[Row]:
 def notebook(text: str) -> Iterator[Row]:
     for i, c in enumerate(json.loads(text).get("cells", [])):
         src = "".join(c.get("source", []))
-        yield "cell", c.get("cell_type", ""), None, i, src.split("\n")[0][:100]
+        yield "cell", c.get("cell_type", ""), None, i, src.split("\n")[0]
 
 
 @reader("sql", "sql", "ddl")
@@ -290,9 +290,8 @@ def _by_line(patterns: list[tuple[str, str]]) -> Reader:
     def read(text: str) -> Iterator[Row]:
         for i, x in enumerate(text.split("\n"), 1):
             for c, p in compiled:
-                if m := p.search(x[:1000]):
-                    yield c, m.group(1), i, (len(x) - len(x.lstrip())) // 2, x.strip()[:120]
-                    break
+                for m in p.finditer(x):
+                    yield c, m.group(1), i, (len(x) - len(x.lstrip())) // 2, x.strip()
 
     return read
 

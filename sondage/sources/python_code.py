@@ -176,7 +176,7 @@ def events(file: str, text: str | None) -> list[tuple]:
                 emit("LOOP", ast.unparse(c.iter if not isinstance(c, ast.While) else c.test))
                 looping = True
             if isinstance(c, (ast.Return, ast.Raise, ast.Yield, ast.YieldFrom, ast.Break, ast.Continue)):
-                emit("EXIT", ast.unparse(c).split("\n")[0][:120])
+                emit("EXIT", ast.unparse(c).split("\n")[0])
             if isinstance(c, ast.Name):
                 emit("WRITE" if isinstance(c.ctx, (ast.Store, ast.Del)) else "READ", c.id)
             if isinstance(c, ast.AugAssign) and isinstance(c.target, ast.Name):
@@ -217,6 +217,79 @@ def events(file: str, text: str | None) -> list[tuple]:
     return out
 
 
+FACTS = "file string, kind string, function string, line int, name string, detail string, n int"
+#: Calls that make a failure visible, by the last part of their name (fixed values).
+VISIBLE_CALLS = frozenset("error warning warn exception critical fatal print fail exit abort write print_exc add_error".split())
+BROAD = frozenset(("Exception", "BaseException"))
+
+
+def facts(file: str, text: str | None) -> list[tuple]:
+    """What rules ask about a file: handlers, properties without a value, literal lists, versions, patches of tests."""
+    tree = parse(text)
+    out: list[tuple] = []
+
+    def patch_target(call: ast.Call) -> tuple[str, str] | None:
+        name = dotted(call.func) or ""
+        tail = name.split(".")
+        strings = [a.value if isinstance(a, ast.Constant) and isinstance(a.value, str) else None for a in call.args]
+        if tail[-1] == "patch" and strings[:1] and strings[0]:
+            return "patch", strings[0]
+        if tail[-2:] in (["patch", "object"], ["monkeypatch", "setattr"], ["monkeypatch", "delattr"], ["monkeypatch", "setitem"], ["monkeypatch", "delitem"]):
+            if len(call.args) > 1 and strings[1] and (d := dotted(call.args[0])):
+                return ".".join(tail[-2:]), f"{d}.{strings[1]}"
+            return (".".join(tail[-2:]), strings[0]) if strings[:1] and strings[0] else None
+        if tail[-2:] == ["patch", "dict"] and call.args:
+            target = strings[0] or dotted(call.args[0])
+            return ("patch.dict", target) if target else None
+        if tail[-2:] in (["monkeypatch", "setenv"], ["monkeypatch", "delenv"]) and strings[:1] and strings[0]:
+            return ".".join(tail[-2:]), f"os.environ.{strings[0]}"
+        return None
+
+    def handler(h: ast.ExceptHandler, scope: str) -> None:
+        types = [dotted(t) or "" for t in (h.type.elts if isinstance(h.type, ast.Tuple) else [h.type])] if h.type is not None else []
+        body = [n for b in h.body for n in ast.walk(b)]
+        told = any(
+            isinstance(n, ast.Raise) or (isinstance(n, ast.Name) and n.id == h.name) or (isinstance(n, ast.Call) and (dotted(n.func) or "").split(".")[-1] in VISIBLE_CALLS)
+            for n in body
+        )
+        kind = "bare" if h.type is None else "broad" if BROAD & {t.split(".")[-1] for t in types} else "narrow"
+        out.append((file, "HANDLER", scope, h.lineno, kind, "told" if told else "silent", len(h.body)))
+
+    def visit(node: ast.AST, scope: str) -> None:
+        for n in ast.iter_child_nodes(node):
+            here = scope
+            if isinstance(n, (*_DEF, ast.ClassDef)):
+                here = f"{scope}.{n.name}" if scope else n.name
+            if isinstance(n, _DEF):
+                names = {dotted(d) for d in n.decorator_list}
+                gives = any(isinstance(x, (ast.Raise, ast.Yield, ast.YieldFrom)) or (isinstance(x, ast.Return) and x.value is not None) for x in own(n))
+                if "property" in names and not gives and not any((d or "").endswith("abstractmethod") for d in names):
+                    out.append((file, "NO_VALUE", here, n.lineno, n.name, None, None))
+                decorators = [d for d in n.decorator_list if isinstance(d, ast.Call)]
+                for d in decorators:
+                    if hit := patch_target(d):
+                        out.append((file, "PATCH", here, d.lineno, hit[0], hit[1], None))
+            elif isinstance(n, ast.ExceptHandler):
+                handler(n, scope)
+            elif isinstance(n, ast.Call) and (hit := patch_target(n)) and not (isinstance(node, _DEF) and n in node.decorator_list):
+                out.append((file, "PATCH", scope, n.lineno, hit[0], hit[1], None))
+            elif isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
+                name = n.targets[0].id
+                if isinstance(n.value, (ast.List, ast.Set, ast.Tuple)) and n.value.elts and all(isinstance(e, ast.Constant) and isinstance(e.value, str) for e in n.value.elts):
+                    out.append((file, "LITERALS", scope, n.lineno, name, None, len(n.value.elts)))
+                if name == "__version__" and isinstance(n.value, ast.Constant):
+                    out.append((file, "VERSION", scope, n.lineno, name, str(n.value.value), None))
+            visit(n, here)
+
+    if tree is not None:
+        visit(tree, "")
+    return out
+
+
+def fact_table(files: DataFrame) -> DataFrame:
+    return files.select("path", "text").mapInArrow(_table(facts, FACTS), FACTS)
+
+
 def _table(fn: Callable[[str, str | None], list[tuple]], schema: str):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

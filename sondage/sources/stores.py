@@ -247,3 +247,16 @@ def packages(spark: SparkSession) -> DataFrame:
 
     rows = sorted({(d.metadata["Name"] or "", d.version or "") for d in distributions()})
     return spark.createDataFrame(rows or [("", "")], "package string, version string")
+
+
+def importable() -> list[str]:
+    """Names of installed packages as they are imported."""
+    from importlib import metadata
+
+    return sorted(metadata.packages_distributions())
+
+
+def project_version(texts: DataFrame) -> str | None:
+    """The version that a project file states, where one does."""
+    one = texts.where(F.col("path").rlike(r"(^|/)pyproject\.toml$")).orderBy(F.length("path"), "path").select(F.regexp_extract("text", r'(?m)^version\s*=\s*"([^"]+)"', 1).alias("v")).first()
+    return one.v if one and one.v else None
