@@ -785,7 +785,8 @@ def q_secret_scan(spark, d):
 
 _PATH = "coalesce(file_path, 'notes/' || doc_id || '.md')"
 _LINKS = rf"""(select doc_id, path, i as line, unnest(regexp_extract_all(l, '\[[^\]]+\]\(([^)]+)\)', 1)) as target
-from (select doc_id, {_PATH} as path, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents))"""
+from (select doc_id, {_PATH} as path, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i
+from (select doc_id, file_path, regexp_replace(text, '\b((?:\w+/)+\w+\.\w{{1,5}})\b', '[\1](/\1)', 'g') as text from documents)))"""
 
 
 def _files(spark, d):
@@ -793,9 +794,14 @@ def _files(spark, d):
     return t(spark, d, "documents").select("doc_id", F.coalesce("file_path", F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), "text")
 
 
+def _linked(spark, d):
+    """The paths that documents name as links."""
+    return _files(spark, d).withColumn("text", F.regexp_replace("text", r"\b((?:\w+/)+\w+\.\w{1,5})\b", "[$1](/$1)"))
+
+
 @q(f"select path, line::int as line, target, count(*) as n from {_LINKS} group by all")
 def q_link_targets(spark, d):
-    return documents.links(_files(spark, d)).groupBy("path", "line", "target").agg(F.count("*").alias("n"))
+    return documents.links(_linked(spark, d)).groupBy("path", "line", "target").agg(F.count("*").alias("n"))
 
 
 @q(r"""select path, n::int as references, count(*) as copies from (select file_path as path, len(list_filter(regexp_extract_all(coalesce(text, ''), '\[[^\]]+\]\(([^)]+)\)', 1), lambda x: contains(x, '.md') and not starts_with(x, 'http') and regexp_extract(x, '([^/]*)$', 1) <> regexp_extract(file_path, '([^/]*)$', 1))) as n
@@ -818,7 +824,7 @@ select path, line::int as line, target from j where not list_contains(parts, '..
 and not exists (select 1 from known where starts_with(p, array_to_string(parts, '/') || '/'))""")
 def q_broken_links(spark, d):
     """Links without ``..``, which the SQL leaves out; those are tested on a fixture."""
-    broken = documents.broken_links(_files(spark, d)).where(~F.contains(F.concat(F.lit("/"), F.regexp_replace(F.split("target", " ")[0], r"[#?].*$", ""), F.lit("/")), F.lit("/../")))
+    broken = documents.broken_links(_linked(spark, d)).where(~F.contains(F.concat(F.lit("/"), F.regexp_replace(F.split("target", " ")[0], r"[#?].*$", ""), F.lit("/")), F.lit("/../")))
     return broken.select("path", "line", "target").distinct()
 
 
