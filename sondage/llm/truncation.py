@@ -225,7 +225,8 @@ def _beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """A left join on a key of which a few values may hold most rows: the rows of a value are spread, the counts repeated for each share."""
     spread = left.withColumn("share", F.pmod(F.xxhash64("text_id", "doc_id"), F.lit(_SALTS)).cast("int"))
     repeated = right.withColumn("share", F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])))
-    return spread.join(repeated, [key, "share"], "left").drop("share")
+    # a merge: what the repeated counts take in memory cannot be told from the size of their file
+    return spread.join(repeated.hint("merge"), [key, "share"], "left").drop("share")
 
 
 def length_spikes(lengths: DataFrame, column: str, least: int = 5, times: float = 8.0, reach: float = 0.04, share: float = 0.003) -> DataFrame:
