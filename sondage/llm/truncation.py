@@ -295,8 +295,8 @@ def examine(documents: DataFrame, kept_words: int = 12) -> DataFrame:
     usual = F.when((n_last >= _OFTEN) & (n_last > 2 * F.coalesce("n_broken", F.lit(0))), n_last).otherwise(0)
     seen_at_all = F.greatest(n_all + n_last, F.lit(1))
     share, closing_share = (n_end + usual) / seen_at_all, usual / seen_at_all
-    # a word seen, but too seldom to tell, proves nothing
-    told = ~(n_all.between(1, _RARE - 1) & ~F.col("token").startswith("<"))
+    # a word seen, but too seldom to tell, proves nothing, unless the length is a limit's
+    told = F.col("at_limit") | ~(n_all.between(1, _RARE - 1) & ~F.col("token").startswith("<"))
     end = (
         F.when(F.col("verdict") == "cut", F.concat(F.lit("unfinished "), "form"))
         .when((F.col("verdict") == "open") & F.col("form").isin("prose", "closing") & ((F.col("form") == "prose") | ((closing_share < 0.5) & ~usual_phrase)), "within a sentence")
