@@ -38,9 +38,10 @@ def call_closure(elements: DataFrame, name: str, depth: int, backwards: bool) ->
     return graphs.closure(e, start, depth, backwards)
 
 
-def uncalled(elements: DataFrame) -> DataFrame:
-    """Functions and methods that no call names; implicit entry points, properties and tests are left out."""
-    defs = elements.where("category in ('functions', 'methods')").where(~F.col("name").rlike(IMPLICIT))
+def uncalled(elements: DataFrame, entries: bool = False) -> DataFrame:
+    """Functions and methods that no call names; implicit entry points (unless wanted), properties and routes are left out."""
+    defs = elements.where("category in ('functions', 'methods')")
+    defs = defs if entries else defs.where(~F.col("name").rlike(IMPLICIT))
     defs = defs.where(~F.exists("decorators", lambda d: d.rlike(r"property|route|fixture|command|abstractmethod|overload|register")))
     return defs.join(call_edges(elements).select(F.col("bare").alias("name")).distinct(), "name", "left_anti")
 

@@ -210,3 +210,38 @@ def database_health(metrics: DataFrame) -> DataFrame:
 def slow_queries(log: DataFrame, since: str, top: int = 20) -> DataFrame:
     """The slowest queries (ts, query_time, sql) since a time."""
     return log.where(F.col("ts") >= F.lit(since).cast("timestamp")).orderBy(F.desc("query_time"), "sql").limit(top)
+
+
+def authority(records: DataFrame, answers: DataFrame) -> DataFrame:
+    """Name servers that the zone names against those that answer: domain, server, state (agrees, orphaned, silent)."""
+    named = records.where("type = 'NS'").select("domain", F.lower(F.rtrim("value", F.lit("."))).alias("server")).distinct()
+    heard = answers.select("domain", F.lower(F.rtrim("server", F.lit("."))).alias("server")).distinct()
+    both = named.withColumn("a", F.lit(True)).join(heard.withColumn("b", F.lit(True)), ["domain", "server"], "full")
+    return both.select("domain", "server", F.when(F.col("a").isNull(), "orphaned").when(F.col("b").isNull(), "silent").otherwise("agrees").alias("state"))
+
+
+def server_health(status: DataFrame, variables: DataFrame) -> DataFrame:
+    """Status counters and variables (server, name, value) -> server, check, value, state."""
+    both = status.unionByName(variables).groupBy("server").agg(F.map_from_entries(F.collect_set(F.struct(F.lower("name").alias("k"), F.col("value").alias("v")))).alias("m"))
+    n = lambda k: F.col("m")[k].try_cast("double")
+    pct = lambda a, b: F.when(b > 0, a * 100.0 / b)
+    rows = [
+        ("connections", pct(n("threads_connected"), n("max_connections")), 80, 95, True),
+        ("peak_connections", pct(n("max_used_connections"), n("max_connections")), 85, 100, True),
+        ("buffer_hit", 100 - pct(n("innodb_buffer_pool_reads"), n("innodb_buffer_pool_read_requests")), 99, 95, False),
+        ("row_lock_waits", n("innodb_row_lock_current_waits"), 10, 50, True),
+        ("deadlocks", n("innodb_deadlocks"), 10, 100, True),
+        ("open_files", pct(n("open_files"), n("open_files_limit")), 75, 90, True),
+        ("full_scans", pct(n("select_scan"), n("com_select")), 25, 50, True),
+        ("disk_tables", pct(n("created_tmp_disk_tables"), n("created_tmp_tables")), 25, 50, True),
+        ("thread_cache", 100 - pct(n("threads_created"), n("connections")), 90, 50, False),
+        ("slow_share", pct(n("slow_queries"), n("questions")), 1, 5, True),
+    ]
+    each = F.array(*[F.struct(F.lit(k).alias("check"), v.alias("value"), state(v, w, f, up).alias("state")) for k, v, w, f, up in rows])
+    return both.select("server", F.explode(each).alias("c")).select("server", "c.*").where("value is not null")
+
+
+def replication(rows: DataFrame, warn: int = 60, fail: int = 300) -> DataFrame:
+    """Replicas with whether they run and how far they are behind."""
+    stopped = (F.lower("io_running") != "yes") | (F.lower("sql_running") != "yes")
+    return rows.withColumn("state", F.when(F.lower("role") == "source", "pass").when(F.coalesce(stopped, F.lit(True)), "failure").otherwise(state(F.col("seconds_behind"), warn, fail)))

@@ -97,9 +97,9 @@ def scan(
     and the value of the row before."""
     sums, lasts, prevs = dict(sums or {}), dict(lasts or {}), dict(prevs or {})
     original = df.columns
-    wide = df.select("*", *(e.alias(f"v_{n}") for n, e in (sums | lasts | prevs).items()), *(F.col(c).alias(f"g_{i}") for i, c in enumerate([*by, *order])))
-    keys = [f"g_{i}" for i in range(len(by))]
-    ordering = [f"g_{i}" for i in range(len(by) + len(order))]
+    wide = df.select("*", *(e.alias(f"v_{n}") for n, e in (sums | lasts | prevs).items()), *(c.alias(f"g_{i}") for i, c in enumerate([*(map(F.col, by) if by else [F.lit(0)]), *map(F.col, order)])))
+    keys = [f"g_{i}" for i in range(len(by) or 1)]  # without groups all rows are one
+    ordering = [f"g_{i}" for i in range(len(keys) + len(order))]
     kinds = dict(zip(wide.columns, wide.schema.fields))
     v = lambda names: [f"v_{n}" for n in names]
     fields = [*wide.schema.fields, StructField("_part", IntegerType()), StructField("_open", BooleanType()), StructField("_k", LongType())]

@@ -56,10 +56,37 @@ def parse_budget(text: str | None) -> tuple[str, int]:
     return "tokens", int(t) if t.isdigit() else 2000
 
 
-def fit_budget(df: DataFrame, by: list[str], order: list[str], cost: str, most: int) -> DataFrame:
-    """Greedy: in order, each row that still fits is kept, others are skipped. One fold per group over (order, cost) pairs.
+def fit_budget(df: DataFrame, rank: str, cost: str, most: int) -> DataFrame:
+    """Greedy: in order of rank, each row that still fits is kept, others are skipped. Adds ``used``, the running cost.
 
-    Groups must be of bounded size: a group's pairs are one array.
+    No list is gathered: rows that alone exceed the budget are out; of the others a scan keeps those whose running cost fits,
+    and where one was skipped the scan goes on behind it. Each round places at least one more row or ends, and whatever no
+    longer fits is dropped before the next, so rounds are as many as gaps that smaller rows fill.
+    """
+    from ..plans.staging import stage
+    from .ordered import scan
+
+    left = df.where(F.col(cost) <= most)
+    out, used = None, 0
+    while True:
+        run = stage(scan(left, [], [rank], sums={"used": F.col(cost)}), "budget")
+        run = run.withColumn("used", F.col("used") + used)
+        # the rows before the first that does not fit
+        first = run.where(F.col("used") > most).agg(F.min(rank).alias("r")).first().r
+        fits = run if first is None else run.where(F.col(rank) < first)
+        out = fits if out is None else out.unionByName(fits)
+        if first is None:
+            return out
+        used = fits.agg(F.max("used").alias("u")).first().u or used
+        left = df.where((F.col(rank) > first) & (F.col(cost) <= most - used))
+        if left.isEmpty():
+            return out
+
+
+def fit_budgets(df: DataFrame, by: list[str], order: list[str], cost: str, most: int) -> DataFrame:
+    """The same for many small groups at once: one fold per group over (order, cost) pairs.
+
+    For groups of bounded size only: a group's pairs are one array.
     """
     entries = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("bigint").alias("_cost"))))
     kind = "struct<used:bigint,kept:array<bigint>>"

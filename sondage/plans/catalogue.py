@@ -709,7 +709,7 @@ union all select p.l_orderkey, p.r, case when k.used + p.cost <= 60 then k.used
 select l_orderkey, l_linenumber::bigint as l_linenumber, max(used) over (partition by l_orderkey) as used from k qualify kept""")
 def q_pack_budget(spark, d):
     rows = t(spark, d, "lineitem").select("l_orderkey", (-F.col("l_quantity")).alias("rank"), "l_linenumber", F.col("l_quantity").cast("bigint").alias("cost"))
-    return scoring.fit_budget(rows, ["l_orderkey"], ["rank", "l_linenumber"], "cost", 60)
+    return scoring.fit_budgets(rows, ["l_orderkey"], ["rank", "l_linenumber"], "cost", 60)
 
 
 @q("""select p_partkey, case when n >= 15 then 5 when n >= 5 then 3 when n >= 1 then 1 else 0 end + case when p_size > 40 then 10 else 0 end - case when p_name like 'a%' then 3 else 0 end as priority

@@ -26,6 +26,11 @@ Reader = Callable[[str], Iterator[Row]]
 READERS: dict[str, tuple[str, Reader]] = {}
 
 
+def extensions() -> dict[str, str]:
+    """Every known ending with its format."""
+    return {e: name for e, (name, _) in READERS.items()}
+
+
 def reader(name: str, *extensions: str):
     """Register a reader for extensions; a later one replaces an earlier one."""
 

@@ -326,6 +326,51 @@ def event_table(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInArrow(_table(events, EVENTS), EVENTS)
 
 
+EVIDENCE = "file string, function string, variable string, line int, kind string, detail string"
+
+
+def shape(v: ast.AST | None) -> str:
+    """What an assigned value looks like."""
+    if isinstance(v, ast.Dict):
+        return "dict(" + ", ".join(repr(k.value) for k in v.keys if isinstance(k, ast.Constant)) + ")"
+    if isinstance(v, (ast.List, ast.Set, ast.Tuple, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Lambda, ast.JoinedStr)):
+        return type(v).__name__.lower()
+    if isinstance(v, ast.Constant):
+        return type(v.value).__name__
+    if isinstance(v, ast.Call):
+        return f"call {dotted(v.func) or ''}"
+    return dotted(v) or type(v).__name__.lower() if v is not None else "none"
+
+
+def type_evidence(file: str, text: str | None) -> list[tuple]:
+    """What tells the type of a variable: annotations, shapes of assigned values, narrowing tests."""
+    tree = parse(text)
+    out: list[tuple] = []
+
+    def visit(node: ast.AST, scope: str) -> None:
+        for n in ast.iter_child_nodes(node):
+            here = f"{scope}.{n.name}" if scope and isinstance(n, (*_DEF, ast.ClassDef)) else n.name if isinstance(n, (*_DEF, ast.ClassDef)) else scope
+            if isinstance(n, _DEF):
+                for a in n.args.posonlyargs + n.args.args + n.args.kwonlyargs:
+                    if a.annotation is not None:
+                        out.append((file, here, a.arg, n.lineno, "parameter", ast.unparse(a.annotation)))
+            elif isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name):
+                out.append((file, here, n.target.id, n.lineno, "annotation", ast.unparse(n.annotation)))
+            elif isinstance(n, ast.Assign):
+                out.extend((file, here, t.id, n.lineno, "assigned", shape(n.value)) for t in n.targets if isinstance(t, ast.Name))
+            elif isinstance(n, ast.Call) and dotted(n.func) == "isinstance" and len(n.args) == 2 and isinstance(n.args[0], ast.Name):
+                out.append((file, here, n.args[0].id, n.lineno, "narrowed", ast.unparse(n.args[1])))
+            visit(n, here)
+
+    if tree is not None:
+        visit(tree, "")
+    return out
+
+
+def evidence_table(files: DataFrame) -> DataFrame:
+    return files.select("path", "text").mapInArrow(_table(type_evidence, EVIDENCE), EVIDENCE)
+
+
 SIMILAR = "file string, name string, line int, other string, other_line int, similarity double"
 
 

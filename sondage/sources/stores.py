@@ -127,6 +127,55 @@ def workbook_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
                 yield s.get("name"), int(m.group(2)) - 1, column_index(m.group(1)), shared[int(v)] if c.get("t") == "s" else v
 
 
+def workbook_parts(data: bytes) -> Iterator[tuple[str, str, str, str]]:
+    """(kind, sheet, name, value): formulas, defined names, external connections, query code and model tables of a workbook."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    names = set(z.namelist())
+    rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    for e in book.iter():
+        if _tag(e) == "definedName":
+            yield "name", "", e.get("name", ""), e.text or ""
+        if _tag(e) == "sheet":
+            target = rels[next(v for k, v in e.attrib.items() if k.endswith("}id"))].lstrip("/")
+            for c in (x for x in ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter() if _tag(x) == "c"):
+                f = next((x.text for x in c if _tag(x) == "f"), None)
+                if f:
+                    yield "formula", e.get("name", ""), c.get("r", ""), f"={f}"
+    if "xl/connections.xml" in names:
+        for c in (x for x in ET.fromstring(z.read("xl/connections.xml")).iter() if _tag(x) == "connection"):
+            inner = next((x.get("connection") for x in c if x.get("connection")), None)
+            yield "connection", "", c.get("name", ""), inner or c.get("description", "") or ""
+    for n in sorted(names):
+        if re.fullmatch(r"customXml/item\d+\.xml", n) and b"DataMashup" in (raw := z.read(n)):
+            yield from _query_code(raw)
+        if re.fullmatch(r"xl/model/.*", n):
+            yield "model", "", n, str(z.getinfo(n).file_size)
+        if re.fullmatch(r"xl/tables/table\d+\.xml", n):
+            t = ET.fromstring(z.read(n))
+            yield "table", "", t.get("displayName", t.get("name", "")), t.get("ref", "")
+
+
+def _query_code(raw: bytes) -> Iterator[tuple[str, str, str, str]]:
+    """The queries in a mashup part: a package inside base64, after its length."""
+    import base64
+
+    text = "".join(ET.fromstring(raw.decode("utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8").encode("utf-8") if raw[:2] not in (b"\xff\xfe", b"\xfe\xff") else raw).itertext())
+    data = base64.b64decode(text)
+    size = int.from_bytes(data[4:8], "little")
+    inner = zipfile.ZipFile(io.BytesIO(data[8 : 8 + size]))
+    for n in inner.namelist():
+        if n.endswith(".m"):
+            code = inner.read(n).decode("utf-8", "replace")
+            for m in re.finditer(r'shared\s+(#"[^"]+"|\w+)\s*=\s*(.*?);\s*(?=shared\s|\Z)', code, re.S):
+                yield "query", "", m.group(1).strip('#"'), m.group(2).strip()
+
+
+def book_parts(spark: SparkSession, path: str) -> DataFrame:
+    schema = "path string, kind string, sheet string, name string, value string"
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_office(workbook_parts, schema), schema)
+
+
 def paragraphs(data: bytes) -> Iterator[tuple[str, int, str]]:
     """(part, number, text) of the paragraphs of a text document, slides or an open document."""
     z = zipfile.ZipFile(io.BytesIO(data))
@@ -181,25 +230,46 @@ def document_text(spark: SparkSession, path: str) -> DataFrame:
 # --- version history ---------------------------------------------------------------------------------------------
 
 
+def git(repo: str, *args: str, given: str | None = None) -> str:
+    run = subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, *args], capture_output=True, timeout=600, input=None if given is None else given.encode())
+    if run.returncode:
+        raise RuntimeError(run.stderr.decode("utf-8", "replace")[-500:])
+    return run.stdout.decode("utf-8", "replace")
+
+
+def is_repository(path: str) -> bool:
+    try:
+        return bool(git(path, "rev-parse", "--verify", "-q", "HEAD"))
+    except (RuntimeError, OSError):
+        return False
+
+
+class Commits(InputPartition):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
 class HistoryReader(DataSourceReader):
     """Commits in slices of the list of commits."""
 
     def __init__(self, options):
         self.repo, self.ref, self.files, self.slice = options["path"], options.get("ref", "HEAD"), options.get("files", "false") == "true", int(options.get("slice", 2000))
+        self.pickaxe = options.get("pickaxe")
 
-    def _git(self, *args) -> str:
-        run = subprocess.run(["git", "-c", "safe.directory=*", "-C", self.repo, *args], capture_output=True, timeout=600)
-        if run.returncode:
-            raise RuntimeError(run.stderr.decode("utf-8", "replace")[-500:])
-        return run.stdout.decode("utf-8", "replace")
+    def _git(self, *args, given: str | None = None) -> str:
+        return git(self.repo, *args, given=given)
 
     def partitions(self):
-        n = int(self._git("rev-list", "--count", self.ref).strip() or 0)
-        return [Range(lo, self.slice) for lo in range(0, max(n, 1), self.slice)]
+        """The list of commits is walked once; each slice holds its own commits by name."""
+        names = self._git("rev-list", self.ref).split()
+        return [Commits(names[lo : lo + self.slice]) for lo in range(0, len(names), self.slice)] or [Commits([])]
 
     def read(self, partition):
         fmt = "%x01%H%x00%P%x00%an%x00%ae%x00%at%x00%s"
-        out = self._git("log", self.ref, f"--skip={partition.lo}", f"--max-count={partition.hi}", f"--format={fmt}", *(["--numstat"] if self.files else []))
+        if not partition.names:
+            return
+        search = ["-G", self.pickaxe] if self.pickaxe else []
+        out = self._git("log", "--no-walk=unsorted", "--stdin", f"--format={fmt}", *search, *(["--numstat"] if self.files else []), given="\n".join(partition.names))
         for entry in out.split("\x01")[1:]:
             head, _, rest = entry.partition("\n")
             h, parents, author, email, ts, subject = head.split("\x00")
@@ -226,10 +296,60 @@ class HistorySource(DataSource):
         return HistoryReader(self.options)
 
 
-def history(spark: SparkSession, repo: str, ref: str = "HEAD", files: bool = False) -> DataFrame:
-    """Commits, or with ``files`` one row per commit and file it touches."""
+def history(spark: SparkSession, repo: str, ref: str = "HEAD", files: bool = False, pickaxe: str | None = None) -> DataFrame:
+    """Commits, or with ``files`` one row per commit and file it touches; ``pickaxe``: only those whose changed lines match.
+
+    The repository must be reachable by its path on every executor.
+    """
     spark.dataSource.register(HistorySource)
-    return spark.read.format("sondage_history").option("path", repo).option("ref", ref).option("files", str(files).lower()).load()
+    return spark.read.format("sondage_history").option("path", repo).option("ref", ref).option("files", str(files).lower()).options(**({"pickaxe": pickaxe} if pickaxe else {})).load()
+
+
+def blame(spark: SparkSession, repo: str, path: str, ref: str = "HEAD", ignore: list[str] | None = None, lines: str | None = None) -> DataFrame:
+    """Who last changed each line of a file: line, hash, author, email, ts, subject, text. ``ignore``: commits to look through; ``lines``: ``10,20``."""
+    args = [x for h in ignore or [] for x in ("--ignore-rev", h)] + (["-L", lines] if lines else [])
+    out, seen, here = [], {}, None
+    for x in git(repo, "blame", "--line-porcelain", *args, ref, "--", path).split("\n"):
+        if m := re.match(r"([0-9a-f]{40}) \d+ (\d+)", x):
+            here = seen.setdefault(m.group(1), {"hash": m.group(1)})
+            at = int(m.group(2))
+        elif x.startswith("\t"):
+            out.append((at, here["hash"], here.get("author"), (here.get("author-mail") or "").strip("<>"), int(here.get("author-time", 0)), here.get("summary"), x[1:]))
+        elif here is not None and " " in x:
+            k, _, v = x.partition(" ")
+            here[k] = v
+    return spark.createDataFrame(out, "line int, hash string, author string, email string, ts bigint, subject string, text string")
+
+
+def file_at(spark: SparkSession, repo: str, path: str, ref: str) -> DataFrame:
+    return spark.createDataFrame([(path, git(repo, "show", f"{ref}:{path}"))], "path string, text string")
+
+
+def file_diff(spark: SparkSession, repo: str, path: str, old: str, new: str = "HEAD", context: int = 3) -> DataFrame:
+    """Lines of the difference of a file between two refs: hunk, kind (+, -, space), line_old, line_new, text."""
+    out, hunk, a, b = [], 0, 0, 0
+    for x in git(repo, "diff", f"-U{context}", old, new, "--", path).split("\n"):
+        if m := re.match(r"@@ -(\d+)(?:,\d+)? \+(\d+)", x):
+            hunk, a, b = hunk + 1, int(m.group(1)), int(m.group(2))
+        elif hunk and x[:1] in ("+", "-", " "):
+            out.append((hunk, x[0], a if x[0] != "+" else None, b if x[0] != "-" else None, x[1:]))
+            a, b = a + (x[0] != "+"), b + (x[0] != "-")
+    return spark.createDataFrame(out, "hunk int, kind string, line_old int, line_new int, text string")
+
+
+def refs(spark: SparkSession, repo: str) -> DataFrame:
+    """Branches and tags: kind, name, hash, ts, subject."""
+    out = []
+    for x in git(repo, "for-each-ref", "--format=%(refname)%00%(objectname)%00%(creatordate:unix)%00%(subject)", "refs/heads", "refs/tags").split("\n"):
+        if x:
+            name, h, ts, subject = x.split("\x00")
+            out.append(("branch" if name.startswith("refs/heads/") else "tag", name.split("/", 2)[2], h, int(ts or 0), subject))
+    return spark.createDataFrame(out, "kind string, name string, hash string, ts bigint, subject string")
+
+
+def noise(commits: DataFrame) -> DataFrame:
+    """Commits that change looks only, by their subject: formatting, renaming, license heads."""
+    return commits.where(F.lower("subject").rlike(r"\b(reformat|format(ting)?|prettier|black|isort|gofmt|rustfmt|lint(ing)?|whitespace|line endings|license headers?|mass rename)\b"))
 
 
 # --- the running system ------------------------------------------------------------------------------------------
@@ -260,3 +380,54 @@ def project_version(texts: DataFrame) -> str | None:
     """The version that a project file states, where one does."""
     one = texts.where(F.col("path").rlike(r"(^|/)pyproject\.toml$")).orderBy(F.length("path"), "path").select(F.regexp_extract("text", r'(?m)^version\s*=\s*"([^"]+)"', 1).alias("v")).first()
     return one.v if one and one.v else None
+
+
+def interpreter_facts(what: str, root: str = ".") -> list[tuple[str, str, str]]:
+    """(name, value, state) about the interpreter: version, env, venv, syspath, imports, module/<name>, doctor, debug/bytecode."""
+    import importlib.util
+    import platform
+    import sys
+    from pathlib import Path
+
+    text = lambda v: "" if v is None else str(v)
+    in_venv = sys.prefix != sys.base_prefix
+    twice = [p for i, p in enumerate(sys.path) if p in sys.path[:i]]
+
+    def stale() -> list[tuple[str, str, str]]:
+        out = []
+        for pyc in Path(root).rglob("__pycache__/*.pyc"):
+            source = pyc.parent.parent / (pyc.name.split(".")[0] + ".py")
+            state = "warning" if not source.exists() else "failure" if source.stat().st_mtime > pyc.stat().st_mtime else "pass"
+            if state != "pass":
+                out.append((str(pyc), "no source" if state == "warning" else "older than its source", state))
+        return out
+
+    if what == "version":
+        return [("version", platform.python_version(), "pass"), ("implementation", platform.python_implementation(), "pass"), ("compiler", platform.python_compiler(), "pass"), ("build", " ".join(platform.python_build()), "pass"), ("executable", sys.executable, "pass"), ("platform", platform.platform(), "pass")]
+    if what == "env":
+        flags = [(f"flag {n}", text(getattr(sys.flags, n)), "pass") for n in ("dont_write_bytecode", "optimize", "utf8_mode", "isolated", "dev_mode")]
+        return [("encoding", sys.getdefaultencoding(), "pass"), ("filesystem encoding", sys.getfilesystemencoding(), "pass"), ("prefix", sys.prefix, "pass"), *flags]
+    if what == "venv":
+        return [("active", text(in_venv).lower(), "pass" if in_venv else "warning"), ("prefix", sys.prefix, "pass"), ("base", sys.base_prefix, "pass"), ("VIRTUAL_ENV", text(os.environ.get("VIRTUAL_ENV")), "pass")]
+    if what == "syspath":
+        return [(str(i), p or os.getcwd(), "warning" if p in twice or (p and not os.path.exists(p)) else "pass") for i, p in enumerate(sys.path)]
+    if what == "imports":
+        return sorted((n, text(getattr(m, "__file__", None)), "pass") for n, m in list(sys.modules.items()) if "." not in n)
+    if what.startswith("module/"):
+        name = what[7:]
+        try:
+            spec = importlib.util.find_spec(name)
+        except (ImportError, ValueError):
+            spec = None
+        here = [p for p in sys.path if p and (os.path.exists(os.path.join(p, *name.split("."), "__init__.py")) or os.path.exists(os.path.join(p, *name.split(".")) + ".py"))]
+        return [(name, text(spec.origin if spec else None), "pass" if spec else "failure"), *(("candidate", p, "warning" if len(here) > 1 else "pass") for p in here)]
+    if what == "debug/bytecode":
+        return stale()
+    if what == "doctor":
+        old = stale()
+        return [
+            ("venv", text(in_venv).lower(), "pass" if in_venv else "warning"), ("path entries twice", text(len(twice)), "warning" if twice else "pass"),
+            ("path entries missing", text(sum(bool(p) and not os.path.exists(p) for p in sys.path)), "pass"), ("stale bytecode", text(len(old)), "warning" if old else "pass"),
+            ("version", platform.python_version(), "pass" if sys.version_info >= (3, 10) else "warning"),
+        ]
+    raise ValueError(f"nothing known of {what!r}")

@@ -8,7 +8,7 @@ import pytest
 from sondage.operators import checks
 from sondage.operators import code as K
 from sondage.operators import infra as I
-from sondage.plans import api
+from sondage.plans import api, facts
 from sondage.sources import files as FS
 from sondage.sources import formats as FM
 from sondage.sources import python_code as P
@@ -226,7 +226,7 @@ def test_addresses(spark, root):
     ask = lambda uri, *cols: rows(api.query(spark, uri), *cols)
     assert ask(f"code://{root}?type=functions&complexity>3&fields=name", "name") == {"process"}
     assert ask(f"code://{root}#helper", "file") == {"app/util.py"}
-    assert ask(f"calls://{root}?target=helper", "caller") == {"process"} and ask(f"calls://{root}?callees=process&depth=2", "node") == {"helper", "open", "exit", "get"}
+    assert ask(f"calls://{root}?target=helper", "caller") == {"process"} and ask(f"calls://{root}?callees=process&depth=2", "node") == {"helper", "get"}
     assert "lonely" in {q.split(".")[-1] for q in ask(f"calls://{root}?uncalled", "qualified")}
     assert ask(f"imports://{root}?circular", "node") == {"app/core.py", "app/util.py"}
     assert ("app/util.py", 1) in ask(f"depends://{root}", "dst", "dependents")
@@ -241,7 +241,7 @@ def test_addresses(spark, root):
     assert {"M501", "X106", "S701", "N002", "I001", "X108"} <= ask(f"check://{root}", "rule_code")
     assert ask(f"check://{root}?select=N&severity=critical", "rule_code") == {"N002"}
     assert ask(f"grep://{root}?pattern=^class", "path") >= {"app/core.py", "s/m.ts"}
-    assert ask(f"surface://{root}?surface=http", "function") == {"helper"}
+    assert ask(f"surface://{root}?surface=http", "function") == {"helper"} == ask(f"surface://{root}?type=http&source_only", "function")
     assert api.query(spark, f"pack://{root}?budget=50-lines").selectExpr("sum(cost) as c").first().c <= 50
     assert ask("help://", "scheme") >= {"code", "git", "sqlite"} and ask("env://?name=PATH", "name") == {"PATH"} and api.query(spark, "python://?package=pyspark").count() == 1
     for name in ("deps", "flow", "contracts", "trace", "testability", "hotspots", "overview", "architecture", "structure", "nginx", "patches", "files", "rules"):
@@ -311,6 +311,131 @@ def test_server_ranges(spark):
     assert [r.location for r in infra.access_control(s).collect()] == ["/api"]
 
 
+def test_parameters(spark, root):
+    ask = lambda uri, *cols: rows(api.query(spark, uri), *cols)
+    assert "process" in ask(f"code://{root}?callers=0&fields=name", "name") and ask(f"code://{root}?callee_of=process&fields=name", "name") <= {"helper"}
+    assert ask(f"code://{root}?callers>0&fields=name", "name") and ask(f"code://{root}?show=calls", "caller")
+    for extra in ("decorator=*", "param_type=Optional*", "return_type=*", "has_annotations=false", "reveal_type=x", "show=dict-heatmap"):
+        api.query(spark, f"code://{root}?{extra}").collect()
+    assert ask(f"calls://{root}?modules", "src", "dst") >= {("app/core.py", "app/util.py")} and any("requests" in r.dst for r in api.query(spark, f"calls://{root}?modules&external").collect())
+    assert any("->" in r.line for r in api.query(spark, f"calls://{root}?modules&format=dot").collect())
+    assert "open" not in ask(f"calls://{root}?root=process", "node") and "open" in ask(f"calls://{root}?root=process&builtins", "node")
+    assert ask(f"calls://{root}?uncalled&type=method", "category") <= {"methods"}
+    assert api.query(spark, f"imports://{root}?rank=fan-in&top=1").count() == 1 and api.query(spark, f"depends://{root}?top=1").count() == 1
+    assert {"package", "circular"} <= ask(f"deps://{root}", "section") and ask(f"deps://{root}?no_unused&no_circular&top=1", "section") == {"package"}
+    assert ask(f"stats://{root}?min_functions=2&fields=file", "file") == {"app/core.py", "app/util.py"} and api.query(spark, f"stats://{root}?summary_only").count() == 1
+    assert ask(f"stats://{root}?max_lines=1", "file") <= {"app/__init__.py", "app/broken.py"} and api.query(spark, f"hotspots://{root}?functions_only&min_complexity=1&top=2").count() == 2
+    assert ask(f"json://{root}/d/x.json?type&path=/a/b", "type", "n") == {("array", 2)} and ask(f"json://{root}/d/x.json?flatten", "path")
+    assert ask(f"markdown://{root}?link-graph", "path", "fan_in") >= {("docs/a.md", 1)} and ask(f"markdown://{root}?lint&lint-fields=title", "problem") >= {"missing title"}
+    assert ask(f"markdown://{root}?body-contains=parser&explain", "path") == {"docs/a.md"} and ask(f"markdown://{root}?!title", "path") == {"docs/b.md"}
+    assert "language" in ask(f"overview://{root}?no_git", "section") and "imported" not in ask(f"overview://{root}?no_imports&exclude=app/", "section")
+    assert api.query(spark, f"architecture://{root}?top=1").count() == 1 and "rank" in api.query(spark, f"architecture://{root}?no_imports").columns
+    assert api.query(spark, f"pack://{root}?budget=50-lines&content&architecture").where("tier = 'full'").count() >= 1
+    for uri in ("testability://{}?top=3&min_categories=1&include_unresolved&tests=tests", "trace://{}?from=process", "contracts://{}?abstract_only&implementations=false", "patches://{}?group=file"):
+        api.query(spark, uri.format(root)).collect()
+    for element in ("ports", "locations", "auth", "config", "upstream"):
+        api.query(spark, f"nginx://{root}#{element}").collect()
+    for element in ("version", "env", "venv", "syspath", "imports", "module/json", "doctor", "packages/pyspark"):
+        assert api.query(spark, f"python://{root}#{element}").count() > 0
+    assert api.query(spark, f"python://{root}#module/no_such_thing").where("state = 'failure'").count() == 1
+    assert ask("help://#analyzers", "extension") >= {"md", "py"} and ask("help://#rules", "rule_code") >= {"M101"} and ask("help://#adapters", "scheme") >= {"ssl", "transcripts"} and api.query(spark, "help://#config").count()
+
+
+def test_budget_is_greedy(spark):
+    from sondage.operators import scoring
+
+    costs = [5, 30, 4, 9, 1, 8, 2, 100, 3]
+    df = spark.createDataFrame(list(enumerate(costs)), "rank int, cost bigint")
+    for most in (0, 3, 10, 20, 33, 200):
+        kept, used = [], 0
+        for i, c in enumerate(costs):
+            if used + c <= most:
+                kept, used = [*kept, i], used + c
+        assert sorted(r["rank"] for r in scoring.fit_budget(df, "rank", "cost", most).collect()) == kept
+
+
+def test_facts(spark, tmp_path):
+    import datetime as dt
+
+    ask = lambda uri, *cols: rows(api.query(spark, uri), *cols)
+    at = dt.datetime(2024, 1, 1)
+    certs = [("a.example", "CN=a", "CA", ["a.example", "*.a.example"], at, at + dt.timedelta(days=5), at, ["r1", "r2"], False, None, "/c/a.pem"), ("b.example", "CN=b", "b", ["c.example"], at, at + dt.timedelta(days=300), at, [], True, "http://o", "/c/b.pem")]
+    df = spark.createDataFrame(certs, facts.CERTIFICATES)
+    df.write.parquet(f"{tmp_path}/certificates.parquet")
+    c = f"{tmp_path}/certificates.parquet"
+    assert ask(f"ssl://{c}#dates", "host", "days_left", "state") == {("a.example", 5, "failure"), ("b.example", 300, "pass")} and ask(f"ssl://{c}#san", "name") == {"a.example", "*.a.example", "c.example"}
+    assert ask(f"ssl://{c}?expiring-within=30", "host") == {"a.example"} and ask(f"ssl://{c}?summary", "check", "n_failure") == {("expiry", 1), ("hostname", 1), ("chain", 1)}
+    for e in ("subject", "issuer", "chain", "full"):
+        assert api.query(spark, f"ssl://{c}#{e}").count() == 2
+    spark.createDataFrame([("a.example", "TXT", "a.example", "v=spf1 -all"), ("a.example", "MX", "a.example", "10 m"), ("a.example", "NS", "a.example", "ns1.x."), ("a.example", "NS", "a.example", "NS2.x")], facts.RECORDS).write.parquet(f"{tmp_path}/records.parquet")
+    spark.createDataFrame([("a.example", "ns1.x", "1.2.3.4"), ("a.example", "ns9.x", "1.2.3.4")], "domain string, server string, value string").write.parquet(f"{tmp_path}/answers.parquet")
+    assert ask(f"domain://{tmp_path}#ns-audit", "server", "state") == {("ns1.x", "agrees"), ("ns2.x", "silent"), ("ns9.x", "orphaned")} and ask(f"domain://{tmp_path}#mail", "spf", "dmarc") == {("pass", "warning")}
+    assert ask(f"domain://{tmp_path}", "check") == {"spf", "dmarc", "propagation", "expiry", "hostname", "chain"} and "pass" not in ask(f"domain://{tmp_path}?only-failures", "state")
+    for e in ("dns", "registrar", "whois", "http", "ssl"):
+        api.query(spark, f"domain://{tmp_path}#{e}").collect()
+    status = [("s", k, v) for k, v in {"Threads_connected": "90", "Max_connections": "100", "Innodb_buffer_pool_reads": "1", "Innodb_buffer_pool_read_requests": "1000", "Slow_queries": "9", "Questions": "100"}.items()]
+    spark.createDataFrame(status, "server string, name string, value string").write.parquet(f"{tmp_path}/status.parquet")
+    spark.createDataFrame([("s", "replica", "Yes", "Yes", 400, ""), ("t", "source", None, None, None, None)], "server string, role string, io_running string, sql_running string, seconds_behind bigint, last_error string").write.parquet(f"{tmp_path}/replication.parquet")
+    assert ask(f"mysql://{tmp_path}", "check", "state") == {("connections", "warning"), ("buffer_hit", "pass"), ("slow_share", "failure")} and ask(f"mysql://{tmp_path}#replication", "server", "state") == {("s", "failure"), ("t", "pass")}
+    for e in ("connections", "innodb", "performance", "variables", "databases", "storage", "tables", "indexes", "slow-queries", "errors"):
+        api.query(spark, f"mysql://{tmp_path}#{e}").collect()
+    spark.createDataFrame([("u", "a.example", "main_domain", "/a", True), ("u", "z.example", "parked", "/z", False)], "user string, domain string, type string, docroot string, resolves boolean").write.parquet(f"{tmp_path}/domains.parquet")
+    assert ask(f"cpanel://{tmp_path}", "user", "domains", "failing") == {("u", 2, 2)} and ask(f"cpanel://{tmp_path}#ssl?dns-verified", "domain") == {"a.example"}
+    assert ask(f"cpanel://{tmp_path}#full-audit", "check") == {"ssl", "acl"} and api.query(spark, f"cpanel://{tmp_path}#help/api").count() == 4 and ask(f"cpanel://{tmp_path}#domains?domain_type=parked", "domain") == {"z.example"}
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n/x.conf").write_text("server {\n  ssl_certificate /c/a.pem;\n}\n")
+    assert ask(f"letsencrypt://{c}?check-orphans&nginx={tmp_path}/n", "path") == {"/c/b.pem"} and ask(f"letsencrypt://{c}?check-duplicates", "n") == set()
+    log = [("start for user “ann”", 0, "info"), ("x.example: fine", 1, "info"), ("boom", 2, "error"), ("start for user “bob”", 0, "info"), ("bad", 2, "error")]
+    (tmp_path / "run.log").write_text("\n".join(json.dumps({"contents": a, "indent": b, "type": k, "timestamp": ""}) for a, b, k in log))
+    assert ask(f"runlog://{tmp_path}/run.log?only-failures", "user", "domain", "contents") == {("ann", "x.example", "boom"), ("bob", None, "bad")} and ask(f"autossl://{tmp_path}/run.log?user=bob", "user") == {"bob"}
+    assert ask(f"runlog://{tmp_path}/run.log?summary", "users", "errors") == {(1, 1)}
+
+
+def test_transcript_views(spark, tmp_path):
+    ask = lambda tail, *cols: rows(api.query(spark, f"transcripts://{tmp_path}/t.jsonl{tail}"), *cols)
+    at = lambda i: f"2024-01-01T00:{i:02}:00Z"
+    block = lambda t, **kw: {"type": t, **kw}
+    recs = [
+        ("user", "m0", {"role": "user", "content": "please look"}), ("assistant", "m1", {"role": "assistant", "stop_reason": "end", "usage": {"input_tokens": 10, "output_tokens": 5, "cache_read_input_tokens": 30}, "content": [block("thinking", thinking="hm"), block("tool_use", id="1", name="Bash", input={"command": "ls"})]}),
+        ("user", "m2", {"role": "user", "content": [block("tool_result", tool_use_id="1", content="Error: x", is_error=True)]}), ("assistant", "m3", {"role": "assistant", "stop_reason": "end", "usage": {"input_tokens": 7}, "content": [block("text", text="done")]}),
+    ]
+    (tmp_path / "t.jsonl").write_text("\n".join(json.dumps({"type": k, "uuid": u, "sessionId": "s", "timestamp": at(i), "cwd": "/p", "message": m}) for i, (k, u, m) in enumerate(recs)))
+    assert ask("#prompts", "text") == {"please look"} and ask("#messages", "text") == {"done"} and ask("#errors", "tool", "input_preview") == {("bash", "ls")}
+    assert ask("#tokens", "message_index", "cumulative_input") == {(1, 40), (3, 47)} and ask("#message/-1", "uuid") == {"m3"} and ask("?last", "text") == {"done"}
+    assert ask("?errors", "uuid") == {"m2"} and ask("?tools=bash", "uuid") == {"m1"} and ask("?contains=LOOK", "uuid") == {"m0"} and ask("?search=ls&word", "block_type") == {"tool_use"}
+    assert ask("?since=2024-01-02", "session_id") == set() and ask("?project=/p&filter=S", "n_messages") == {4} and ask("?range=2-3", "uuid") == {"m1", "m2"} and ask("?role=user", "uuid") == {"m0", "m2"}
+    for e in ("digest", "exchanges", "thinking", "tools", "workflow", "timeline", "context", "summary", "files", "agents"):
+        api.query(spark, f"transcripts://{tmp_path}/t.jsonl#{e}").collect()
+
+
+def test_history_views(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=Ann", "-c", "user.email=a@x.example", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    for i, text in enumerate(["def f():\n    return 1\n", "def f():\n    return 2\n", "def f():\n    return 2\n\n\ndef g():\n    return f()\n"]):
+        (tmp_path / "a.py").write_text(text)
+        git("add", "."), git("commit", "-qm", ["start", "reformat all", "add g"][i])
+    git("tag", "v1")
+    ask = lambda tail, *cols: rows(api.query(spark, f"git://{tmp_path}{tail}"), *cols)
+    assert ask("?content~=return 2", "subject") == {"reformat all"} and ask("?message=START", "subject") == {"start"} and ask("?author=ann&no_merges&since=2000-01-01", "subject") == {"start", "reformat all", "add g"}
+    assert ask("#a.py?type=blame&detail", "line", "subject") == {(1, "start"), (2, "reformat all"), (3, "add g"), (4, "add g"), (5, "add g"), (6, "add g")}
+    assert ask("#a.py?type=blame&element=f", "subject", "lines") == {("start", 1), ("reformat all", 1)}
+    assert ask("#a.py?type=diff&old=HEAD~1&context=0", "kind", "text") == {("+", ""), ("+", "def g():"), ("+", "    return f()")}
+    assert "return 1" in api.query(spark, f"git://{tmp_path}#a.py?ref=HEAD~2&raw").first().text and ask("#a.py?type=file", "name") == {"f", "g"}
+    assert ask("?branches", "name") == {"main"} and ask("?tags", "name") == {"v1"} and ask("?noise", "subject") == {"reformat all"} and ask("#a.py?type=history", "added") == {2, 1, 4}
+
+
+def test_workbook_parts(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" r:id="rId1"/></sheets><definedNames><definedName name="Rate">One!$A$1</definedName></definedNames></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1"><v>2</v></c><c r="B1"><f>A1*2</f><v>4</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/connections.xml", f'<connections {ns}><connection name="Q" id="1"><dbPr connection="Provider=x"/></connection></connections>')
+    ask = lambda tail, *cols: rows(api.query(spark, f"xlsx://{tmp_path}/b.xlsx{tail}"), *cols)
+    assert ask("?formulas", "name", "value") == {("B1", "=A1*2")} and ask("?names", "name", "value") == {("Rate", "One!$A$1")} and ask("?connections", "value") == {"Provider=x"}
+    assert ask("?format=csv", "line") == {"2,4"} and ask("?sheet=1", "value") == {"2", "4"} and ask("?powerquery", "name") == ask("?powerpivot", "name") == set()
+
+
 def test_tree_diff(spark, root, tmp_path):
     (tmp_path / "app").mkdir()
     (tmp_path / "app/util.py").write_text(UTIL.replace("def helper(x)", "def helper(x, y)").replace("lonely", "renamed"))
