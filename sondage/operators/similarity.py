@@ -17,9 +17,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, column: str, k: in
     k rows per query and task. Ties go to the smaller id; null or zero vectors match nothing.
     """
     out = None
-    ids = [r[0] for r in queries.where(f"{column} is not null").select(key).orderBy(key).collect()]  # ids of the stated queries
-    for lo in range(0, max(1, len(ids)), block):
-        part = queries.where(F.col(key).isin(ids[lo : lo + block])).select(key, column).collect() if ids else []
+    stated = queries.where(f"{column} is not null").select(key, column)
+    blocks = max(1, -(-stated.count() // block))
+    for b in range(blocks):
+        # bounded: a block holds about as many of the stated queries
+        part = stated.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).collect()
         q_id = np.array([r[0] for r in part], np.int64)
         q = np.array([r[1] for r in part], np.float64).reshape(len(part), -1)
         norm = np.linalg.norm(q, axis=1, keepdims=True) if len(part) else q

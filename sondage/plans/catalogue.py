@@ -483,6 +483,14 @@ def q_fan_in_out(spark, d):
     return graphs.degrees(_sparse(spark, d))
 
 
+@q("""with e as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem), n as (select src as node from e union select dst from e)
+select node, coalesce(i, 0) as fan_in, coalesce(o, 0) as fan_out from n left join (select dst, count(*) as i from e group by 1) on node = dst left join (select src, count(*) as o from e group by 1) on node = src""")
+def q_degrees_trade(spark, d):
+    """Over all of a graph that grows with the data."""
+    name = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
+    return graphs.degrees(t(spark, d, "lineitem").select(name("l_suppkey", "s").alias("src"), name("l_partkey", "p").alias("dst")).distinct())
+
+
 @q(f"select n_nationkey as node from nation where n_nationkey not in (select dst from {_SPARSE})")
 def q_entrypoints(spark, d):
     return graphs.entrypoints(_sparse(spark, d), t(spark, d, "nation").select(F.col("n_nationkey").alias("node")))

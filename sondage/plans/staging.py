@@ -22,10 +22,12 @@ _DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """Folder for intermediate tables: ``spark.checkpoint.dir``; a local one of our own only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _DIR:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = named or tempfile.mkdtemp(prefix="sondage-")
         if "://" not in base and not base.startswith("file:"):
             base = "file://" + base if base.startswith("/") and not named else base
