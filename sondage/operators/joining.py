@@ -39,8 +39,7 @@ def tightest_interval(points: DataFrame, at: Column, intervals: DataFrame, key:
 
 def as_of(df: DataFrame, by: list[str], order: list[str], value: str, where: Column, name: str) -> DataFrame:
     """Each row with the latest earlier ``value`` among the rows that meet ``where``."""
-    seen = scan(df, by, order, lasts={"_seen": F.when(where, F.col(value))})
-    return scan(seen, by, order, prevs={name: F.col("_seen")}).drop("_seen")
+    return scan(df, by, order, earlier={name: F.when(where, F.col(value))})
 
 
 def presence_matrix(facts: DataFrame, row: str, column: str) -> DataFrame:

@@ -73,7 +73,10 @@ def _scanner(names: list[str], by: Sequence[str], sums: Sequence[str], lasts: Se
                 carried = filled[c] if filled[c] is not None else pa.nulls(1, col[c].type)
                 source = pa.concat_arrays([col[c], carried, pa.nulls(1, col[c].type)])
                 out[f"_last_{c}"] = source.take(pa.array(np.where(seen >= 0, seen, np.where(goes_on, n, n + 1))))
-                filled[c] = out[f"_last_{c}"].slice(n - 1)
+                until = out[f"_last_{c}"]
+                shifted = pa.concat_arrays([carried, until.slice(0, n - 1), pa.nulls(1, col[c].type)])
+                out[f"_before_{c}"] = shifted.take(pa.array(np.where(new, n, at)))
+                filled[c] = until.slice(n - 1)
             for c in prevs:
                 source = pa.concat_arrays([before[c], pa.nulls(1, col[c].type)])
                 out[f"_prev_{c}"] = source.take(pa.array(np.where(new, n, at)))
@@ -92,10 +95,12 @@ def scan(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     prevs: Mapping[str, Column] | None = None,
+    earlier: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Rows with columns more: ``number`` (from 0 in each group), running whole sums, the last value that is not null up to the row,
-    and the value of the row before."""
-    sums, lasts, prevs = dict(sums or {}), dict(lasts or {}), dict(prevs or {})
+    the value of the row before, and the last value that is not null before the row."""
+    sums, prevs, strict = dict(sums or {}), dict(prevs or {}), dict(earlier or {})
+    lasts = dict(lasts or {}) | strict
     original = df.columns
     wide = df.select("*", *(e.alias(f"v_{n}") for n, e in (sums | lasts | prevs).items()), *(c.alias(f"g_{i}") for i, c in enumerate([*(map(F.col, by) if by else [F.lit(0)]), *map(F.col, order)])))
     keys = [f"g_{i}" for i in range(len(by) or 1)]  # without groups all rows are one
@@ -105,6 +110,9 @@ def scan(
     fields = [*wide.schema.fields, StructField("_part", IntegerType()), StructField("_open", BooleanType()), StructField("_k", LongType())]
     fields += [StructField(f"_sum_{c}", LongType()) for c in v(sums)]
     fields += [StructField(f"_{what}_{c}", kinds[c].dataType) for what, names in (("last", lasts), ("prev", prevs)) for c in v(names)]
+    # the scanner gives columns in this order: what was before a row comes after what is up to it
+    told = [f for f in fields if f.name.startswith("_last_")]
+    fields = [x for f in fields for x in ((f, StructField(f.name.replace("_last_", "_before_", 1), f.dataType)) if f in told else (f,))]
     fields = [StructField(f.name, f.dataType, True) for f in fields]
     scanned = stage(sorted_map(wide, ordering, _scanner(wide.columns, keys, v(sums), v(lasts), v(prevs)), StructType(fields)), "scanned")
     # one row for each partition: how its last group stands at its end
@@ -137,6 +145,6 @@ def scan(
     if number:
         cols.append((F.col("_k") + F.when(here, F.coalesce("c__k", F.lit(0))).otherwise(0)).alias(number))
     cols += [(F.col(f"_sum_v_{n}") + F.when(here, F.coalesce(f"c__sum_v_{n}", F.lit(0))).otherwise(0)).alias(n) for n in sums]
-    cols += [F.coalesce(f"_last_v_{n}", F.when(here, F.col(f"c__last_v_{n}"))).alias(n) for n in lasts]
+    cols += [F.coalesce(f"_{'before' if n in strict else 'last'}_v_{n}", F.when(here, F.col(f"c__last_v_{n}"))).alias(n) for n in lasts]
     cols += [F.when(here & (F.col("_k") == 0), F.col(f"c_v_{n}")).otherwise(F.col(f"_prev_v_{n}")).alias(n) for n in prevs]
     return out.select(*cols)

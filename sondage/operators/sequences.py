@@ -45,9 +45,8 @@ def fill_forward(df: DataFrame, by: list[str], order: list[str], value: str, nam
 def within_previous(df: DataFrame, by: list[str], order: list[str], test: Column, rows: int, name: str) -> DataFrame:
     """Whether one of the given number of rows before meets the test."""
     counted = scan(df.withColumn("_hit", F.coalesce(test, F.lit(False))), by, order, number="_n")
-    seen = scan(counted, by, order, lasts={"_at": F.when(F.col("_hit"), F.col("_n"))})
-    earlier = scan(seen, by, order, prevs={"_last": F.col("_at")})
-    return earlier.withColumn(name, F.coalesce(F.col("_n") - F.col("_last") <= rows, F.lit(False))).drop("_hit", "_n", "_at", "_last")
+    earlier = scan(counted, by, order, earlier={"_last": F.when(F.col("_hit"), F.col("_n"))})
+    return earlier.withColumn(name, F.coalesce(F.col("_n") - F.col("_last") <= rows, F.lit(False))).drop("_hit", "_n", "_last")
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

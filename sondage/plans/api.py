@@ -191,6 +191,8 @@ def _code(spark, call):
     if "has_annotations" in p:
         told = F.col("signature").rlike(r":\s*\w|->")
         df = df.where(told if _on(p, "has_annotations") else ~told & F.col("category").isin("functions", "methods"))
+    if "callers" not in p and "callers" not in f"{call.query}{call.fields}{call.page.sort}":  # counted only where asked for
+        return df.where((F.col("name") == call.element) | (F.col("qualified") == call.element)) if call.element else df
     n = code.call_edges(python_code.element_table(texts)).groupBy(F.col("bare").alias("name")).agg(F.count_distinct("file", "caller").alias("callers"))
     df = df.join(n, "name", "left").na.fill({"callers": 0})
     if "callers" in p:

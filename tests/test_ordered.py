@@ -12,7 +12,7 @@ def expected(rows):
     for g, o, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
         n, total, last, prev = by.get(g, (0, 0, None, None))
         total, last = total + (v or 0), v if v is not None else last
-        out[(g, o)] = (n, total, last, prev)
+        out[(g, o)] = (n, total, last, prev, by.get(g, (0, 0, None, None))[2])
         by[g] = (n + 1, total, last, v)
     return out
 
@@ -28,11 +28,11 @@ def test_scan_against_lists(spark, batch, shape):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         df = spark.createDataFrame(rows, "g string, o int, v int").repartition(5)
-        got = scan(df, ["g"], ["o"], number="n", sums={"total": F.col("v")}, lasts={"last": F.col("v")}, prevs={"prev": F.col("v")}).collect()
+        got = scan(df, ["g"], ["o"], number="n", sums={"total": F.col("v")}, lasts={"last": F.col("v")}, prevs={"prev": F.col("v")}, earlier={"before": F.col("v")}).collect()
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
-    assert {(r.g, r.o): (r.n, r.total, r["last"], r.prev) for r in got} == expected(rows)
+    assert {(r.g, r.o): (r.n, r.total, r["last"], r.prev, r.before) for r in got} == expected(rows)
 
 
 def test_empty_and_sequences(spark):
