@@ -166,13 +166,13 @@ def _glob(c, pattern: str):
 
 
 @scheme(
-    "code", "definitions in Python sources; #name", "decorator callee_of param_type return_type has_annotations callers reveal_type show", qlang.CODE, "file line",
+    "code", "definitions in Python sources; #name", "decorator callee_of param_type return_type has_annotations callers type_evidence show", qlang.CODE, "file line",
     {"lines": "line_count", "type": "category"},
 )
 def _code(spark, call):
     p, texts = call.params, _py(spark, call)
-    if "reveal_type" in p:
-        return python_code.evidence_table(texts).where(F.col("variable") == p["reveal_type"])
+    if "type_evidence" in p:
+        return python_code.evidence_table(texts).where(F.col("variable") == p["type_evidence"])
     df = python_code.element_table(texts)
     if p.get("show") == "calls":
         return code.call_edges(df)

@@ -315,7 +315,7 @@ def test_parameters(spark, root):
     ask = lambda uri, *cols: rows(api.query(spark, uri), *cols)
     assert "process" in ask(f"code://{root}?callers=0&fields=name", "name") and ask(f"code://{root}?callee_of=process&fields=name", "name") <= {"helper"}
     assert ask(f"code://{root}?callers>0&fields=name", "name") and ask(f"code://{root}?show=calls", "caller")
-    for extra in ("decorator=*", "param_type=Optional*", "return_type=*", "has_annotations=false", "reveal_type=x", "show=dict-heatmap"):
+    for extra in ("decorator=*", "param_type=Optional*", "return_type=*", "has_annotations=false", "type_evidence=x", "show=dict-heatmap"):
         api.query(spark, f"code://{root}?{extra}").collect()
     assert ask(f"calls://{root}?modules", "src", "dst") >= {("app/core.py", "app/util.py")} and any("requests" in r.dst for r in api.query(spark, f"calls://{root}?modules&external").collect())
     assert any("->" in r.line for r in api.query(spark, f"calls://{root}?modules&format=dot").collect())
